@@ -105,6 +105,12 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, max_file
     return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.struct("doc_id", "at").eqNullSafe(F.col("keep")).alias("kept"), "digest", "at")
 
 
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    gone = dedup(docs).filter("not kept").select(F.col("at").alias("_at"))
+    return docs.withColumn("_at", locator(docs)).join(gone, "_at", "left_anti").drop("_at")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedup(docs).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
