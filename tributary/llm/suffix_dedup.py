@@ -37,8 +37,8 @@ WINDOW, ANCHOR = 100, 24
 HOT = 4096
 #: Buckets that minimisers are dealt to, and bytes of runs whose suffixes are sorted together.
 BUCKETS, TOGETHER = 256, 1 << 20
-#: Bytes of text handled at once.
-CHUNK = 4 << 20
+#: Bytes of text handled at once (small enough that the arrays stay in the processor's cache); documents of a slice.
+CHUNK, SLICE = 1 << 18, 256
 RUN = np.dtype([("hash", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("windows", "<i4")])
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -71,21 +71,34 @@ class Rolling:
 
 
 def window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """For each start, the place of the smallest of w values from there on, the leftmost of equals."""
-    n = len(h) - w + 1
-    best, at, span = h, np.arange(len(h), dtype=np.int32), 1
-    # doubling: the minimum over 2**k values, then two that overlap make w
-    while span * 2 <= w:
-        take = best[span:] < best[:-span]
-        best, at = np.where(take, best[span:], best[:-span]), np.where(take, at[span:], at[:-span])
+    """For each start, the place of the smallest of w values from there on, the leftmost of equals.
+
+    The places stand in the low bits, which decide between equals; the hashes lose as many.
+    """
+    low = np.uint64(CHUNK - 1)
+    best, span, n = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1, len(h) - w + 1
+    while span * 2 <= w:  # the minimum over 2**k values; two that overlap make w
+        best = np.minimum(best[span:], best[:-span])
         span *= 2
-    left, right = slice(0, n), slice(w - span, w - span + n)
-    return np.where(best[right] < best[left], at[right], at[left])
+    return (np.minimum(best[:n], best[w - span : w - span + n]) & low).astype(np.int64)
 
 
 def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
     for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        for part in slices(batch):
+            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, SLICE):
+        yield batch.slice(at, SLICE)
+
+
+def lists_of(column: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A column of lists of structs: where each row's list starts (and the last ends), and the fields of all elements."""
+    size = np.array(column.value_lengths().fill_null(0))
+    flat = column.flatten()
+    return np.append(0, np.cumsum(size)), [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
 
 
 def stretches(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
@@ -117,7 +130,7 @@ def pack_buckets(runs: np.ndarray, gone: np.ndarray, buckets: int) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "runs"])
 
 
-def find_runs(docs: DataFrame, buckets: int, most: int = 2_000_000) -> DataFrame:
+def find_runs(docs: DataFrame, buckets: int, most: int = 500_000) -> DataFrame:
     """bucket, runs: blocks of RUN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,19 +330,25 @@ def compared(docs: DataFrame, found: DataFrame, buckets: int, folder: str) -> Da
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, body, runs in zip(*(c.to_pylist() for c in batch.columns)):
-                for r in runs:
-                    s, n, kind, h = r["start"], r["windows"], r["kind"], r["hash"]
-                    if kind == COMPARE:
-                        out.append(((h % (1 << 64) >> 40) % buckets, doc_id, s, n, kind, h, body[s : s + n + WINDOW - 1]))
-                    else:
+            for part in slices(batch):
+                edge, (start, windows, kind, h) = lists_of(part.column(2), "start", "windows", "kind", "hash")
+                owner = np.repeat(np.arange(part.num_rows), np.diff(edge))
+                whole, bodies = kind == COMPARE, part.column(1).to_pylist()
+                cut = [bodies[o][s : s + n + WINDOW - 1] for o, s, n in zip(owner[whole].tolist(), start[whole].tolist(), windows[whole].tolist())]
+                bucket = (h[whole].view(np.uint64) >> np.uint64(40)).astype(np.int64) % buckets
+                rows = [owner[whole], bucket, start[whole], windows[whole], kind[whole], h[whole], cut]
+                if not whole.all():
+                    extra: list[tuple] = []
+                    for o, s, n in zip(owner[~whole].tolist(), start[~whole].tolist(), windows[~whole].tolist()):
                         for i in range(s, s + n):
-                            key = hashlib.blake2b(body[i : i + WINDOW], digest_size=16).digest()
-                            out.append((int.from_bytes(key[:4], "little") % buckets, doc_id, i, 1, kind, int.from_bytes(key[8:], "little", signed=True), key))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], names=names)
+                            key = hashlib.blake2b(bodies[o][i : i + WINDOW], digest_size=16).digest()
+                            extra.append((o, int.from_bytes(key[:4], "little") % buckets, i, 1, ALONE, 0, key))
+                    rows = [np.concatenate([a, np.array(b, np.int64)]) for a, b in zip(rows[:6], list(zip(*extra))[:6])] + [cut + [x[6] for x in extra]]
+                doc = part.column(0).take(pa.array(rows[0]))
+                types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+                bucket_, start_, windows_, kind_, hash_, body_ = (pa.array(c, t) if t == pa.binary() else pa.array(np.asarray(c), pa.int64()).cast(t) for c, t in zip(rows[1:], types))
+                yield pa.RecordBatch.from_arrays([bucket_, doc, start_, windows_, kind_, hash_, body_], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -372,25 +391,17 @@ def removed(docs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFra
     return docs, spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
-def cut_text(body: bytes, spans: list[dict]) -> tuple[list[bytes], int, int]:
-    """(the stretches that stay, bytes removed, spans removed)."""
-    stay, at, gone, runs = [], 0, 0, 0
-    end = -1
-    for s, n in sorted((x["start"], x["windows"]) for x in spans):
-        lo, hi = s, min(s + n + WINDOW - 1, len(body))
-        if lo > end:
-            if end >= 0:
-                gone += end - at
-                at = end
-            stay.append(body[at:lo])
-            at, end, runs = lo, hi, runs + 1
-        else:
-            end = max(end, hi)
-    if end >= 0:
-        gone += end - at
-        at = end
-    stay.append(body[at:])
-    return stay, gone, runs
+def cut_text(body: bytes, start: np.ndarray, windows: np.ndarray) -> tuple[list[bytes], int, int]:
+    """(the stretches that stay, bytes removed, maximal stretches removed) for windows that repeat."""
+    if not len(start):
+        return [body], 0, 0
+    order = np.argsort(start, kind="stable")
+    lo = start[order].astype(np.int64)
+    hi = np.maximum.accumulate(lo + windows[order] + WINDOW - 1)
+    first = np.append(True, lo[1:] > hi[:-1])
+    lo, hi = lo[first], hi[np.append(np.flatnonzero(first)[1:] - 1, len(hi) - 1)]
+    stay = [body[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(body)])]
+    return stay, int((hi - lo).sum()), len(lo)
 
 
 def dedup(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -399,10 +410,11 @@ def dedup(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
+            edge, (start, windows) = lists_of(part.column(2), "start", "windows")
             out = []
-            for doc_id, body, spans in zip(*(c.to_pylist() for c in batch.columns)):
-                stay, gone, n = cut_text(body, spans or [])
+            for i, (doc_id, body) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
+                stay, gone, n = cut_text(body, start[edge[i] : edge[i + 1]], windows[edge[i] : edge[i + 1]])
                 out.append((doc_id, len(body), gone, n, b"".join(stay)))
             types = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
@@ -417,11 +429,11 @@ def strip(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                t if t is None or not spans else b"".join(cut_text(t.encode(), spans)[0]).decode(errors="ignore")
-                for t, spans in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())
-            ]
+        for batch in (part for whole in batches for part in slices(whole)):
+            edge, (start, windows) = lists_of(batch.column(len(names)), "start", "windows")
+            texts = batch.column(at).to_pylist()
+            for i in np.flatnonzero(np.diff(edge)).tolist():
+                texts[i] = b"".join(cut_text(texts[i].encode(), start[edge[i] : edge[i + 1]], windows[edge[i] : edge[i + 1]])[0]).decode(errors="ignore")
             columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(texts, pa.string())
             if "n_chars" in names:
