@@ -17,7 +17,7 @@ def chunks(docs: DataFrame, budget: int = 300, paragraph: str = r"\n\s*\n") -> D
     sections = docs.select("doc_id", F.posexplode(lines).alias("section", "body"))
     head = F.regexp_extract("body", r"^#{1,6}\s+([^\n]*)", 1)
     body = F.when(F.col("body").rlike(r"^#{1,6}\s+"), F.regexp_replace("body", r"^#{1,6}\s+[^\n]*\n?", "")).otherwise(F.col("body"))
-    sections = sections.select("doc_id", "section", F.trim(head).alias("heading"), F.filter(F.transform(F.split(body, paragraph), F.trim), lambda p: p != "").alias("paragraphs")).filter(F.size("paragraphs") > 0)
+    sections = sections.select("doc_id", "section", F.trim(head).alias("heading"), F.filter(F.transform(F.split(body, paragraph), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "").alias("paragraphs")).filter(F.size("paragraphs") > 0)
     words = lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != ""))
     empty = F.array().cast("array<struct<text:string,n:int>>")
 
