@@ -27,6 +27,7 @@ from .common import keep, shared_folder
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # no space set aside for each of many small stores
 }
 PLACE = "struct<file: string, row: long>"
 ARRIVAL = f"doc_id long, digest string, at {PLACE}"
