@@ -15,7 +15,8 @@ from tributary.llm.common import keep, shared_folder
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those that the models reject go."""
     models = language_id.fit(docs)
-    return language_id.predict(docs, models).filter("not rejected").select(docs.columns)
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # none that a prediction has
+    return language_id.predict(docs.toDF(*names), models).filter("not rejected").select(names).toDF(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

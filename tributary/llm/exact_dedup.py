@@ -22,7 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, shared_folder
+from .common import free_name, keep, shared_folder
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -108,8 +108,9 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, max_file
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    gone = dedup(docs).filter("not kept").select(F.col("at").alias("_at"))
-    return docs.withColumn("_at", locator(docs)).join(gone, "_at", "left_anti").drop("_at")
+    place = free_name(docs, "_at")
+    gone = dedup(docs).filter("not kept").select(F.col("at").alias(place))
+    return docs.withColumn(place, locator(docs)).join(gone, place, "left_anti").drop(place)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, shared_folder
+from .common import free_name, keep, shared_folder
 
 WINDOW, ANCHOR = 100, 24
 #: Different contents with one minimiser beyond which its windows are dealt out by their own fingerprints.
@@ -441,8 +441,9 @@ def strip(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                 columns[i] = pa.array([None if t is None else len(t) for t in texts], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    spans = spans.withColumnRenamed("doc_id", "_doc")
-    return docs.join(spans, docs["doc_id"].cast("long") == spans["_doc"], "left").select(*[docs[c] for c in names], "spans").mapInArrow(run, schema)
+    key, found = free_name(docs, "_doc"), free_name(docs, "spans")
+    spans = spans.select(F.col("doc_id").alias(key), F.col("spans").alias(found))
+    return docs.join(spans, docs["doc_id"].cast("long") == spans[key], "left").select(*[docs[c] for c in names], found).mapInArrow(run, schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
