@@ -56,13 +56,13 @@ class Spelled(dict):
 
     def __init__(self, model: WordBpe) -> None:
         super().__init__()
-        self.model = model
+        self.model, self.decimals = model, list(map(str, range(len(model.text))))
 
     def __missing__(self, ids: bytes) -> tuple[str, str]:
         numbers = np.frombuffer(ids, "<u4").tolist()
         if len(self) >= TABLE:
             self.clear()
-        self[ids] = out = (" ".join(map(str, numbers)), self.model.decode(numbers))
+        self[ids] = out = (" ".join(map(self.decimals.__getitem__, numbers)), self.model.decode(numbers))
         return out
 
 

@@ -27,6 +27,8 @@ import regex
 #: White space as Unicode defines it; ``str.split`` also splits at the four separators 1C to 1F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: What the pattern takes as a word of its own after letters.
+CLOSING = frozenset(",.;:!?)]}")
 #: Chunks kept per task; a full table is emptied.
 TABLE = 300_000
 BIG = np.int64(1) << 40
@@ -57,6 +59,10 @@ class WordBpe:
         key = np.array([(self.vocab[a] << 20) | self.vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(key)
         self.keys, self.key_rank = key[order], order.astype(np.int64)
+        letters = [self.vocab[c + e] for c in self.letters for e in ("", self.end)]
+        self.square = np.full((max(letters) + 1,) * 2, BIG)  # the ranks of rules that join two letters
+        both = (max(letters) >= key >> 20) & (max(letters) >= key & ((1 << 20) - 1))
+        self.square[key[both] >> 20, key[both] & ((1 << 20) - 1)] = np.flatnonzero(both)
         self.left, self.right = np.arange(n), np.arange(n)
         self.left[self.made], self.right[self.made] = key >> 20, key & ((1 << 20) - 1)
         self.when = np.full(n, -1, np.int64)  # the rank that makes a token; -1: a letter
@@ -68,9 +74,10 @@ class WordBpe:
         good = [(s, i) for s, i in self.vocab.items() if self.sound[i]]
         self.final = {s.removesuffix(self.end): i for s, i in good if s.endswith(self.end)}
         self.inner = {s: i for s, i in good if not s.endswith(self.end)}
-        self.reach: dict[str, int] = {}  # the length of the longest token with these three letters first
+        by_start: dict[str, set[int]] = {}
         for s in self.inner:
-            self.reach[s[:3]] = max(len(s), self.reach.get(s[:3], 2))
+            by_start.setdefault(s[:4], set()).add(len(s))
+        self.sizes = {k: (*sorted(v, reverse=True), 3, 2, 1) for k, v in by_start.items() if len(k) == 4}  # to try, by the first four letters
         self.table: dict[str, bytes] = {}
         self.word_table: dict[str, bytes] = {}
 
@@ -113,13 +120,16 @@ class WordBpe:
             live = live[~bad & ~done]
         return good
 
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """Exact merging of many words at once: in each round every word joins its lowest-ranked pair, from the left."""
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words at once: in each round every word joins its lowest-ranked pair, from the left.
+
+        The ids of all words, one after the other, and how many each has.
+        """
         vocab, end = self.vocab, self.end
         ids = np.fromiter(chain.from_iterable([*map(vocab.__getitem__, w[:-1]), vocab[w[-1] + end]] for w in words), np.int64)
         owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        rank = np.append(np.where(owner[1:] == owner[:-1], self.joins(ids[:-1], ids[1:]), BIG), BIG)
+        rank = np.append(np.where(owner[1:] == owner[:-1], self.square[ids[:-1], ids[1:]], BIG), BIG)
         while len(ids):
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             low = np.minimum.reduceat(rank, first)
@@ -146,25 +156,24 @@ class WordBpe:
             nxt = np.minimum(t + 1, len(ids) - 1)
             rank[t] = np.where((t + 1 < len(ids)) & (owner[nxt] == owner[t]), self.joins(ids[t], ids[nxt]), BIG)
         if not done:
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         owner, ids = np.concatenate([o for o, _ in done]), np.concatenate([i for _, i in done])
-        order = np.argsort(owner, kind="stable")
-        return np.split(ids[order], np.flatnonzero(np.diff(owner[order])) + 1)
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
     def greedy(self, word: str) -> list[int] | None:
         """Longest match from the left over the word's letters; the last token ends the word."""
-        out, i, n, inner, final, reach = [], 0, len(word), self.inner, self.final, self.reach
+        out, i, n, inner, final, sizes = [], 0, len(word), self.inner, self.final, self.sizes
         while i < n:
             if (t := final.get(word[i:])) is not None:
                 out.append(t)
                 return out
-            for j in range(min(n - 1, i + reach.get(word[i : i + 3], 2)), i, -1):
-                if (t := inner.get(word[i:j])) is not None:
+            for size in sizes.get(word[i : i + 4], (3, 2, 1)):
+                if i + size < n and (t := inner.get(word[i : i + size])) is not None:
                     break
             else:
                 return None
             out.append(t)
-            i = j
+            i += size
         return out
 
     def encode_words(self, words: list[str]) -> list[bytes]:
@@ -179,18 +188,33 @@ class WordBpe:
             inner = owner[1:] == owner[:-1]
             bad = ~self.compatible(flat[:-1][inner], flat[1:][inner])
             failed[owner[1:][inner][bad]] = True
-        out = [None if g is None or f else np.array(g, "<u4").tobytes() for g, f in zip(guess, failed)]
-        again = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(again, self.merge([words[i] for i in again])):
-            out[i] = ids.astype("<u4").tobytes()
+        out = self.pieces(flat, size)
+        again = [i for i, g in enumerate(guess) if g is None or failed[i]]
+        for i, ids in zip(again, self.pieces(*self.merge([words[i] for i in again]))):
+            out[i] = ids
         return out
 
-    def words_of(self, chunk: str) -> list[str]:
-        if chunk.isascii() and chunk.isalpha():
-            return [chunk.lower()]
-        s = unicodedata.normalize("NFC", chunk)
-        s = "".join(map(str.lower, s)) if "Σ" in s else s.lower()  # letter by letter: no final sigma
-        return [w.encode("utf-8").decode("latin-1").translate(self.letter_table) for w in self.words.findall(s)]
+    @staticmethod
+    def pieces(ids: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """Runs of ``ids`` of the given sizes, as little-endian unsigned 32-bit numbers."""
+        data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(size)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def spell(self, word: str) -> str:
+        """In the letters that stand for bytes."""
+        return word if word.isascii() and word.isalpha() else word.encode("utf-8").decode("latin-1").translate(self.letter_table)
+
+    def words_of(self, chunk: str) -> tuple[str, ...]:
+        if chunk.isascii():
+            s = chunk.lower()
+        else:
+            s = unicodedata.normalize("NFC", chunk)
+            s = "".join(map(str.lower, s)) if "Σ" in s else s.lower()  # letter by letter: no final sigma
+        if s.isalpha():
+            return (self.spell(s),)
+        if s[-1] in CLOSING and (body := s[:-1]).isalpha():
+            return self.spell(body), s[-1]
+        return tuple(map(self.spell, self.words.findall(s)))
 
     def learn(self, chunks: list[str]) -> None:
         parts = [self.words_of(c) for c in chunks]
@@ -200,8 +224,7 @@ class WordBpe:
             new = list(set(chain.from_iterable(parts)))
         self.word_table.update(zip(new, self.encode_words(new)))
         known = self.word_table.__getitem__
-        for c, ws in zip(chunks, parts):
-            self.table[c] = known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws))
+        self.table.update(zip(chunks, [known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws)) for ws in parts]))
 
     def chunks(self, text: str) -> list[str]:
         """White-space chunks, with special tokens as chunks of their own."""
@@ -223,7 +246,7 @@ class WordBpe:
         if new:
             for s in new & self.special.keys():
                 self.table[s] = np.array([self.special[s]], "<u4").tobytes()
-            self.learn(sorted(new - self.special.keys()))
+            self.learn(list(new - self.special.keys()))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
