@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import tokenizer_file
-from .tokens import TABLE, WordBpe, bpe
+from .tokens import WordBpe, bpe
+
+#: Spelled chunks kept per task, and as many again of those before them.
+SPELLED = 250_000
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -57,12 +60,16 @@ class Spelled(dict):
     def __init__(self, model: WordBpe) -> None:
         super().__init__()
         self.model, self.decimals = model, list(map(str, range(len(model.text))))
+        self.older: dict[bytes, tuple[str, str]] = {}
 
     def __missing__(self, ids: bytes) -> tuple[str, str]:
-        numbers = np.frombuffer(ids, "<u4").tolist()
-        if len(self) >= TABLE:
+        if len(self) >= SPELLED:
+            self.older = dict(self)
             self.clear()
-        self[ids] = out = (" ".join(map(self.decimals.__getitem__, numbers)), self.model.decode(numbers))
+        if (out := self.older.get(ids)) is None:
+            numbers = np.frombuffer(ids, "<u4").tolist()
+            out = " ".join(map(self.decimals.__getitem__, numbers)), self.model.decode(numbers)
+        self[ids] = out
         return out
 
 

@@ -29,8 +29,8 @@ SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: What the pattern takes as a word of its own after letters.
 CLOSING = frozenset(",.;:!?)]}")
-#: Chunks kept per task; a full table is emptied.
-TABLE = 300_000
+#: Chunks kept per process in the newer of two tables; when it is full, it becomes the older one, which is let go.
+TABLE = 500_000
 BIG = np.int64(1) << 40
 
 
@@ -41,6 +41,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else next(rest) for b in range(256)]
 
 
+def recall(wanted: set[str], newer: dict[str, bytes], older: dict[str, bytes]) -> tuple[dict[str, bytes], dict[str, bytes], set[str]]:
+    """The newer and the older table, with what either has of ``wanted`` in the newer, and what neither has."""
+    new = wanted.difference(newer)
+    if new and len(newer) + len(new) > TABLE:
+        newer, older, new = {}, newer, wanted
+    back = older.keys() & new if older else set()
+    newer.update(zip(back, map(older.__getitem__, back)))
+    return newer, older, new - back
+
+
 class WordBpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -80,6 +90,8 @@ class WordBpe:
         self.sizes = {k: (*sorted(v, reverse=True), 3, 2, 1) for k, v in by_start.items() if len(k) == 4}  # to try, by the first four letters
         self.table: dict[str, bytes] = {}
         self.word_table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
 
     def _sound(self, n: int) -> np.ndarray:
         """Tokens that merging makes of their own letters."""
@@ -218,10 +230,8 @@ class WordBpe:
 
     def learn(self, chunks: list[str]) -> None:
         parts = [self.words_of(c) for c in chunks]
-        new = list(set(chain.from_iterable(parts)).difference(self.word_table))
-        if len(self.word_table) + len(new) > TABLE:
-            self.word_table.clear()
-            new = list(set(chain.from_iterable(parts)))
+        self.word_table, self.older_words, new = recall(set(chain.from_iterable(parts)), self.word_table, self.older_words)
+        new = list(new)
         self.word_table.update(zip(new, self.encode_words(new)))
         known = self.word_table.__getitem__
         self.table.update(zip(chunks, [known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws)) for ws in parts]))
@@ -239,10 +249,7 @@ class WordBpe:
     def encode(self, texts: list[str | None]) -> list[list[str]]:
         """The chunks of each text, all of them in ``table`` afterwards."""
         out = [self.chunks(t) if t else [] for t in texts]
-        new = set().union(*out).difference(self.table)
-        if new and len(self.table) + len(new) > TABLE:
-            self.table.clear()
-            new = set().union(*out)
+        self.table, self.older, new = recall(set().union(*out), self.table, self.older)
         if new:
             for s in new & self.special.keys():
                 self.table[s] = np.array([self.special[s]], "<u4").tobytes()
