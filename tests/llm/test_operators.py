@@ -119,6 +119,32 @@ def test_html_differencing(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def texts_of(spark, htmls):
+    pages = spark.createDataFrame([(i, f"http://h/a/{i:03d}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [r.text for r in html_extract.extract(pages).orderBy("page_id").collect()]
+
+
+def test_html_differencing_inside_articles(spark):
+    page = lambda i: f"<nav>menu</nav><article><p>shared notice</p><p>body of page {i}, long enough</p><p>more of {i}</p></article>"
+    assert texts_of(spark, [page(1), page(2)]) == ["body of page 1, long enough more of 1", "body of page 2, long enough more of 2"]
+    assert texts_of(spark, [page(1), page(1)]) == ["shared notice body of page 1, long enough more of 1"] * 2
+
+
+def test_html_copies_keep_their_text(spark):
+    page = lambda names: "<div>top</div>" + "".join(f"<p>paragraph {n} of the text</p>" for n in names) + "<div>end</div>"
+    whole = lambda names: " ".join(["top", *(f"paragraph {n} of the text" for n in names), "end"])
+    body = lambda names: " ".join(f"paragraph {n} of the text" for n in names)
+    assert texts_of(spark, [page("abcdefgh")] * 40) == [whole("abcdefgh")] * 40  # only copies: no other page to compare with
+    near = [[*"abcdefgh"[:4], f"{i}", *"efgh"] for i in range(20)]
+    assert texts_of(spark, [page(n) for n in near]) == [whole(n) for n in near]
+    assert texts_of(spark, [page("abcdefgh"), page("abcdqfgh"), page("uvwxyz")]) == [whole("abcdefgh"), body("abcdqfgh"), body("uvwxyz")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a run over several blocks and partitions
+    try:
+        assert texts_of(spark, [page("abcdefgh")] * 600 + [page("uvwxyz")]) == [body("abcdefgh")] * 600 + [body("uvwxyz")]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_jaccard_join(spark):
     sets = {}
     for i, t in enumerate(TEXTS):

@@ -1,20 +1,23 @@
 """Main text of web pages, by differencing each page against the nearest url of its host.
 
 A page is read into lines (one for each block of markup, character references decoded, white space reduced);
-scripts, styles and controls give none.  Lines of an <article> or <main> element are text.  All other lines
-are compared with the page's nearest neighbour: pages are ranked by host and path over the whole table, the
-neighbour is the page just before or after of the same host, whichever shares the longer start of the path (ties:
-before), the two pages' lines are aligned by a longest common subsequence of line hashes, and shared lines are deleted.
+scripts, styles and controls give none.  All lines, those of an <article> or <main> element too, are compared with the
+page's nearest neighbour: pages are ranked by host and path over the whole table, a run of pages of one host with
+the same lines stands as one page, the neighbour is the page just before or after of the same host, whichever shares the
+longer start of the path (ties: before), the two pages' lines are aligned by a longest common subsequence of line
+hashes, and shared lines are deleted.  A neighbour that is a near copy deletes nothing, for two copies would delete each other:
+then the page on the other side is taken, and if that is a near copy too, or there is none, the page loses no line.
+Near copies: of the lines that may be text by their markup, shared ones at the very start and end count as header and footer
+(a quarter of these lines at each end, and one at least); of either page's other characters half or more are shared.
 Of what is left, a check by markup takes what one page alone shows: lines of elements that name themselves navigation,
-header, footer, sidebar, form, notice, advert or comments, and, where a page has an article, lines outside it.  Lines
-inside an article are not differenced: two copies of an article on one host would delete each other.
+header, footer, sidebar, form, notice, advert or comments, and, where a page has an article, lines outside it.
 
 Ranks come from a range-partitioned sort with summed partition sizes; the comparison runs in blocks of BLOCK
 ranks with one row of margin on both sides, so a host with a third of all pages is spread over many tasks.
 
 Defined results: null html gives an empty text; a null url has an empty host and is compared like any other; pages
 without a neighbour lose no line; of pages with equal host and path the page_id decides the order.  Repeated rows are pages of
-their own (the neighbour of a repeated page is its repetition).  Extra columns are ignored.
+their own, with equal texts if they stand in one run.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from .common import keep, shared_folder
 from .url_filter import host_of, path_of
 
 BLOCK = 256
+#: Of the number that stands for a line: bit 0 tells whether the line may be text by its markup, LENGTH its length, the rest is a hash.
+LENGTH = (1 << 12) - 1
 # Elements of HTML.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -207,78 +212,133 @@ def prefix_lengths(x: list[int], y: list[int]) -> np.ndarray:
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, body (the lines, packed), fine (whether a line may be text by its markup), loose (places of lines outside articles), their hashes."""
-    schema = "page_id long, url string, body binary, fine array<boolean>, loose array<int>, hashes array<long>"
+    """page_id, url, body (the lines that may be text by their markup, packed), lines (a number for each line of the page, see LENGTH)."""
+    schema = "page_id long, url string, body binary, lines array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, fine, loose, hashes = [], [], [], []
+            texts, numbers = [], []
             for source in batch.column(2).to_pylist():
                 lines, kinds = page_lines(source or "")
                 wanted = ARTICLE if ARTICLE in kinds else PLAIN
-                texts.append(zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"), 6))  # a line holds no line break
-                fine.append([k == wanted for k in kinds])
-                loose.append([i for i, k in enumerate(kinds) if k != ARTICLE])
-                hashes.append([xxhash.xxh64_intdigest(lines[i].encode()) - (1 << 63) for i in loose[-1]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.array(fine, pa.list_(pa.bool_())), pa.array(loose, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["page_id", "url", "body", "fine", "loose", "hashes"])
+                texts.append(zlib.compress("\n".join([s for s, k in zip(lines, kinds) if k == wanted]).encode("utf-8", "surrogatepass"), 6))  # a line holds no line break
+                numbers.append([line_number(s, k == wanted) for s, k in zip(lines, kinds)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.array(numbers, pa.list_(pa.int64()))], names=["page_id", "url", "body", "lines"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
 
 
+def line_number(line: str, fine: bool) -> int:
+    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) >> 13
+    return (h << 13 | min(len(line), LENGTH) << 1 | fine) - (1 << 63)
+
+
 def shared_start(a: str, b: str) -> int:
     n = min(len(a), len(b))
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
+def mark_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the sorted rows of a partition: the number of its run, whether it is the run's first row, and what its path shares with the one before (-1: another host)."""
+    last, node = None, -1
+    for batch in batches:
+        nodes, heads, nears = [], [], []
+        for host, path, digest in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "digest"))):
+            head = last is None or (host, digest) != (last[0], last[2])
+            node += head
+            nodes.append(node)
+            heads.append(head)
+            nears.append(shared_start(path, last[1]) if head and last and host == last[0] else -1)
+            last = host, path, digest
+        lines = batch.column("lines")
+        lines = lines.take(pa.array([i if h else None for i, h in enumerate(heads)], pa.int64()))
+        columns = [batch.column(c) for c in ("part", "i", "row", "host", "path", "digest")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes, pa.int64()), pa.array(heads, pa.bool_()), pa.array(nears, pa.int32()), lines], names=[c.split()[0] for c in PLACED.split(", ")])
+
+
+PLACED = "part int, i long, row long, host string, path string, digest long, node long, head boolean, near int, lines array<long>"
+
+
+def mostly_shared(numbers: np.ndarray, gone: np.ndarray) -> bool:
+    """Whether half or more of a page's text, beyond its header and footer, is shared."""
+    fine = (numbers & 1).astype(bool)
+    length, shared = ((numbers >> 1) & LENGTH)[fine], gone[fine]
+    edge = max(1, len(shared) // 4)
+    top = int(np.append(shared, False).argmin())  # shared lines that lead
+    end = int(np.append(shared[top:][::-1], False).argmin())
+    inner = slice(min(top, edge), len(shared) - min(end, edge))
+    return len(shared) > 0 and 2 * int(length[inner][shared[inner]].sum()) >= int(length[inner].sum())
+
+
+def compare_pair(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Which lines of either page the other has; None for near copies."""
+    x, y = (a >> 1).tolist(), (b >> 1).tolist()
+    gone_a, gone_b = np.zeros(len(x), bool), np.zeros(len(y), bool)
+    gone_a[common_lines(x, y)] = True
+    gone_b[common_lines(y, x)] = True
+    return None if mostly_shared(a, gone_a) or mostly_shared(b, gone_b) else (gone_a, gone_b)
+
+
 def compare_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Lines that each page of the block (without its margin) shares with its nearest neighbour."""
+    """Places, among the lines that may be text, of those that each page of the block (without its margin) shares with its nearest neighbour."""
     rows = rows.sort_values("rank")
     block = int(rows["block"].iloc[0])
-    recs = list(rows[["rank", "row", "host", "path", "hashes", "loose"]].itertuples(index=False, name=None))
+    rank, near, lines = rows["rank"].tolist(), rows["near"].tolist(), [np.asarray(x, np.int64) for x in rows["lines"]]
+    pairs: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}
     out = []
-    for i, (rank, row, host, path, hashes, loose) in enumerate(recs):
-        if rank // BLOCK != block or not len(hashes):
-            continue
-        near = [r for r in (recs[i - 1] if i else None, recs[i + 1] if i + 1 < len(recs) else None) if r is not None and r[2] == host and abs(r[0] - rank) == 1]
-        if not near:
+    for i, numbers in enumerate(lines):
+        fine = (numbers & 1).astype(bool)
+        if rank[i] // BLOCK != block or not fine.any():
             continue
-        other = max(near, key=lambda r: (shared_start(path, r[3]), r[0] < rank))
-        if gone := common_lines(list(map(int, hashes)), list(map(int, other[4]))):
-            out.append((row, [int(loose[g]) for g in gone]))
-    return pd.DataFrame({"row": pd.Series([r for r, _ in out], dtype="int64"), "gone": pd.Series([g for _, g in out], dtype="object")})
+        sides = [(near[k], k < i + 1, k) for k in (i, i + 1) if 0 < k < len(lines) and rank[k] == rank[k - 1] + 1 and near[k] >= 0]  # k: a pair's second page
+        for _, before, k in sorted(sides, reverse=True):
+            if k not in pairs:
+                pairs[k] = compare_pair(lines[k - 1], lines[k])
+            if pairs[k] is not None:
+                if (gone := np.flatnonzero(pairs[k][before][fine]).tolist()):
+                    out.append((rank[i], gone))
+                break
+    return pd.DataFrame({"rank": pd.Series([r for r, _ in out], dtype="int64"), "gone": pd.Series([g for _, g in out], dtype="object")})
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (its lines joined by one space) and n_chars of each page."""
     spark, folder = pages.sparkSession, shared_folder(pages.sparkSession)
     lined = keep(read_pages(pages).withColumn("row", F.monotonically_increasing_id()), folder, "lines")
-    keys = lined.select("row", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "loose", "hashes")
+    keys = lined.select("row", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64("lines").alias("digest"), "lines")
     order = keys.repartitionByRange("host", "path", "page_id", "row").sortWithinPartitions("host", "path", "page_id", "row")
-    placed = keep(order.withColumns({"part": F.spark_partition_id(), "i": F.expr("monotonically_increasing_id() & ((1L << 33) - 1)")}), folder, "placed")
-    before, start = 0, {}
-    for r in placed.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row per partition
-        start[r["part"]], before = before, before + r["n"]
-    ranked = placed
+    order = order.withColumns({"part": F.spark_partition_id(), "i": F.expr("monotonically_increasing_id() & ((1L << 33) - 1)")})
+    placed = keep(order.mapInArrow(mark_runs, PLACED), folder, "placed")
+    ends = F.struct("host", "path", "digest")
+    parts = placed.groupBy("part").agg(F.max("node").alias("node"), F.min_by(ends, "i").alias("first"), F.max_by(ends, "i").alias("last"))
+    start, joined, last, before = {}, {}, None, 0
+    for r in parts.orderBy("part").collect():  # a row per partition
+        same = last is not None and last["host"] == r["first"]["host"]
+        again = same and last["digest"] == r["first"]["digest"]  # the run goes on from the partition before
+        start[r["part"]] = before - again
+        joined[r["part"]] = -2 if again else shared_start(r["first"]["path"], last["path"]) if same else -1
+        before, last = start[r["part"]] + r["node"] + 1, r["last"]
     if start:
-        ranked = placed.withColumn("rank", F.col("i") + F.create_map(*[F.lit(x) for k, v in start.items() for x in (k, v)])[F.col("part")].cast("long"))
+        by_part = lambda values: F.create_map(*[F.lit(x) for item in values.items() for x in item])[F.col("part")]
+        placed = placed.withColumns({"rank": F.col("node") + by_part(start).cast("long"), "near": F.when(F.col("i") == 0, by_part(joined)).otherwise(F.col("near"))})
         blocks = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col("rank") + d) / BLOCK)))
-        ranked = ranked.withColumn("block", F.explode(blocks)).select("block", "rank", "row", "host", "path", "loose", "hashes")
-        gone = ranked.groupBy("block").applyInPandas(compare_block, "row long, gone array<int>")
-        lined = lined.join(gone, "row", "left")
+        ranked = placed.filter("head and near >= -1").withColumn("block", F.explode(blocks)).select("block", "rank", "near", "lines")
+        gone = ranked.groupBy("block").applyInPandas(compare_block, "rank long, gone array<int>")
+        lined = lined.join(placed.select("row", "rank").join(gone, "rank").drop("rank"), "row", "left")
     else:
         lined = lined.withColumn("gone", F.lit(None).cast("array<int>"))
-    return lined.select("page_id", "url", "body", "fine", "gone").mapInArrow(join_lines, "page_id long, url string, text string, n_chars long")
+    return lined.select("page_id", "url", "body", "gone").mapInArrow(join_lines, "page_id long, url string, text string, n_chars long")
 
 
 def join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines that are fine and not gone, joined by one space."""
+    """The lines that are not gone, joined by one space."""
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
             texts = []
-            for body, fine, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for body, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 lines, gone = zlib.decompress(body).decode("utf-8", "surrogatepass").split("\n"), set(gone or ())
-                texts.append(" ".join([s for i, (s, good) in enumerate(zip(lines, fine)) if good and i not in gone]))
+                texts.append(" ".join([s for i, s in enumerate(lines) if i not in gone]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
