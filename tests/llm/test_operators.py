@@ -227,6 +227,18 @@ def test_suffix_dedup(spark):
     assert set(suffix_dedup.strip(docs(spark, texts), buckets=4).columns) == set(docs(spark).columns)
 
 
+def test_suffix_dedup_of_rows_with_one_doc_id(spark, tmp_path):
+    other = " ".join(RNG.choice(WORDS) + str(RNG.randint(100, 999)) for _ in range(60))
+    texts = [LONG, LONG, other, other[200:] + LONG[:150], "tail " + LONG[300:600], "short", "short"]  # the first row is repeated
+    ids = [1, 1, 1, 2, 2, None, None]
+    spark.createDataFrame([(i, t, "en") for i, t in zip(ids, texts)], "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    table = spark.read.parquet(str(tmp_path / "d"))
+    want = sorted(((i is not None, i or 0, *w) for i, w in zip(ids, removed_by_hand(texts).values())))
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(table, buckets=4).collect())
+    assert got == want
+    assert sorted(r.text for r in suffix_dedup.strip(table, buckets=4).collect()) == sorted(w[3].decode() for w in removed_by_hand(texts).values())
+
+
 def test_suffix_order():
     rng = random.Random(2)
     for _ in range(200):

@@ -1,7 +1,7 @@
 """Removal of repeated passages by suffix arrays, built with a difference cover, over the windows that can repeat.
 
-A byte goes if a WINDOW-byte string that covers it also starts earlier (in a smaller doc_id, or earlier in the same
-document).  Most windows of a corpus are unique, so they are set apart exactly before any suffix is sorted:
+A byte goes if a WINDOW-byte string that covers it also starts earlier (in a smaller doc_id, in an earlier row of the
+same doc_id, or earlier in the same text).  Most windows of a corpus are unique, so they are set apart exactly before any suffix is sorted:
 
 1. Every window has a minimiser: the smallest hash of its ANCHOR-byte substrings, the leftmost of equals.  Equal windows have
    equal minimisers.  Neighbouring windows with one minimiser form a run, about 40 windows.
@@ -16,8 +16,9 @@ document).  Most windows of a corpus are unique, so they are set apart exactly b
    task gets an unbounded group.
 
 Fingerprints have 128 bits.  Defined results: null text counts as empty; matches never cross documents, and a text
-of fewer than WINDOW bytes loses nothing.  Of rows with the same doc_id and start the one read first counts as
-earlier, so repeated rows are removed but for one.  Extra columns are ignored; an empty table gives none.
+of fewer than WINDOW bytes loses nothing.  Rows are told apart by file
+and row, so of rows with the same doc_id the one earlier there (by name of the file, then row) counts as earlier, and
+repeated rows are removed but for one.  A null doc_id counts as the smallest.  Extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, keep, shared_folder
+from .exact_dedup import locator
 
 WINDOW, ANCHOR = 100, 24
 #: Different contents with one minimiser beyond which its windows are dealt out by their own fingerprints.
@@ -39,7 +41,7 @@ HOT = 4096
 BUCKETS, TOGETHER = 256, 1 << 20
 #: Bytes of text handled at once (small enough that the arrays stay in the processor's cache); documents of a slice.
 CHUNK, SLICE = 1 << 18, 256
-RUN = np.dtype([("hash", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("windows", "<i4")])
+RUN = np.dtype([("hash", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("windows", "<i4")])
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -83,10 +85,10 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(best[:n], best[w - span : w - span + n]) & low).astype(np.int64)
 
 
-def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
     for batch in batches:
         for part in slices(batch):
-            yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+            yield from zip(*(part.column(c).to_pylist() for c in ("doc", "row", "body")))
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -110,7 +112,7 @@ def stretches(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
 
 def own_copies(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the earliest run of each content, the others)."""
-    order = np.lexsort((runs["start"], runs["doc"], runs["content"], runs["hash"]))
+    order = np.lexsort((runs["start"], runs["row"], runs["doc"], runs["content"], runs["hash"]))
     runs = runs[order]
     again = np.append(False, (runs["hash"][1:] == runs["hash"][:-1]) & (runs["content"][1:] == runs["content"][:-1]))
     return runs[~again], runs[again]
@@ -149,9 +151,9 @@ def find_runs(docs: DataFrame, buckets: int, most: int = 500_000) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, runs binary")
 
 
-def gathered(docs: Iterator[tuple[int, bytes]]) -> Iterator[list[np.ndarray]]:
+def gathered(docs: Iterator[tuple[int, int, bytes]]) -> Iterator[list[np.ndarray]]:
     """RUN arrays: short texts are laid side by side, so that the arrays are long; windows across their borders are dropped."""
-    ids, parts, offsets, size = [], [], [], 0
+    ids, rows, parts, offsets, size = [], [], [], [], 0
 
     def flush() -> list[np.ndarray]:
         if not parts:
@@ -175,16 +177,18 @@ def gathered(docs: Iterator[tuple[int, bytes]]) -> Iterator[list[np.ndarray]]:
         out = np.zeros(len(start), RUN)
         out["hash"], out["content"] = h[at[start]], two(start, start + windows + WINDOW - 1) ^ windows.astype(np.uint64)
         out["doc"] = np.array(ids, np.int64)[owner[start]]
+        out["row"] = np.array(rows, np.int64)[owner[start]]
         out["start"] = start - first[owner[start]] + np.array(offsets, np.int64)[owner[start]]
         out["windows"] = windows
         return [out]
 
-    for doc_id, text in docs:
+    for doc, row, text in docs:
         for offset, data in stretches(text):
             if size + len(data) > CHUNK:
                 yield flush()
-                ids, parts, offsets, size = [], [], [], 0
-            ids.append(doc_id)
+                ids, rows, parts, offsets, size = [], [], [], [], 0
+            ids.append(doc)
+            rows.append(row)
             parts.append(data.tobytes())
             offsets.append(offset)
             size += len(data)
@@ -204,10 +208,10 @@ def sort_out(runs: np.ndarray, hot: int = HOT) -> tuple[np.ndarray, np.ndarray,
 def rows_of(parts: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
     kind = np.concatenate([np.full(len(r), k, np.int32) for r, k in parts])
     runs = np.concatenate([r for r, _ in parts])
-    return pa.RecordBatch.from_arrays([pa.array(runs["doc"]), pa.array(runs["start"]), pa.array(runs["windows"]), pa.array(kind), pa.array(runs["hash"].view(np.int64))], names=["doc_id", "start", "windows", "kind", "hash"])
+    return pa.RecordBatch.from_arrays([pa.array(runs["doc"]), pa.array(runs["row"]), pa.array(runs["start"]), pa.array(runs["windows"]), pa.array(kind), pa.array(runs["hash"].view(np.int64))], names=["doc", "row", "start", "windows", "kind", "hash"])
 
 
-FOUND = "doc_id long, start int, windows int, kind int, hash long"
+FOUND = "doc long, row long, start int, windows int, kind int, hash long"
 REPEAT, COMPARE, ALONE = 0, 1, 2
 
 
@@ -286,8 +290,8 @@ def name_triples(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return names + 1
 
 
-def compare_runs(doc: np.ndarray, start: np.ndarray, windows: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of every window of the runs that an earlier one repeats."""
+def compare_runs(doc: np.ndarray, row: np.ndarray, start: np.ndarray, windows: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start) of every window of the runs that an earlier one repeats."""
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     first = np.cumsum(size) - size
@@ -305,36 +309,36 @@ def compare_runs(doc: np.ndarray, start: np.ndarray, windows: np.ndarray, texts:
         hi = min(len(at), lo + (1 << 16))
         same[lo:hi] = (view[at[lo:hi]] == view[at[lo - 1 : hi - 1]]).all(axis=1)
     group = np.cumsum(~same)
-    d, s = doc[run], start[run] + inner
-    by = np.lexsort((s, d, group))
+    d, r, s = doc[run], row[run], start[run] + inner
+    by = np.lexsort((s, r, d, group))
     later = np.append(False, group[by][1:] == group[by][:-1])
-    return d[by][later], s[by][later]
+    return r[by][later], s[by][later]
 
 
-SPAN = "doc_id long, start int, windows int"
+SPAN = "row long, start int, windows int"
 
 
-def spans_of(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+def spans_of(row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     """Neighbouring windows as one row."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))) if len(doc) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(doc[edge].astype(np.int64)), pa.array(start[edge].astype(np.int32)), pa.array(np.diff(np.append(edge, len(doc))).astype(np.int32))], names=["doc_id", "start", "windows"])
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    edge = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))) if len(row) else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(row[edge].astype(np.int64)), pa.array(start[edge].astype(np.int32)), pa.array(np.diff(np.append(edge, len(row))).astype(np.int32))], names=["row", "start", "windows"])
 
 
 def compared(docs: DataFrame, found: DataFrame, buckets: int, folder: str) -> DataFrame:
     """SPAN rows of the windows that repeat among the runs that share a minimiser but not all bytes."""
-    wanted = found.filter(F.col("kind") != REPEAT).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "kind", "hash")).alias("runs"))
-    cut = docs.join(wanted, "doc_id").select("doc_id", "body", "runs")
-    schema = "bucket int, doc_id long, start int, windows int, kind int, hash long, body binary"
+    wanted = found.filter(F.col("kind") != REPEAT).groupBy("row").agg(F.collect_list(F.struct("start", "windows", "kind", "hash")).alias("runs"))
+    cut = docs.join(wanted, "row").select("doc", "row", "body", "runs")
+    schema = "bucket int, doc long, row long, start int, windows int, kind int, hash long, body binary"
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
             for part in slices(batch):
-                edge, (start, windows, kind, h) = lists_of(part.column(2), "start", "windows", "kind", "hash")
+                edge, (start, windows, kind, h) = lists_of(part.column(3), "start", "windows", "kind", "hash")
                 owner = np.repeat(np.arange(part.num_rows), np.diff(edge))
-                whole, bodies = kind == COMPARE, part.column(1).to_pylist()
+                whole, bodies = kind == COMPARE, part.column(2).to_pylist()
                 cut = [bodies[o][s : s + n + WINDOW - 1] for o, s, n in zip(owner[whole].tolist(), start[whole].tolist(), windows[whole].tolist())]
                 bucket = (h[whole].view(np.uint64) >> np.uint64(40)).astype(np.int64) % buckets
                 rows = [owner[whole], bucket, start[whole], windows[whole], kind[whole], h[whole], cut]
@@ -345,10 +349,10 @@ def compared(docs: DataFrame, found: DataFrame, buckets: int, folder: str) -> Da
                             key = hashlib.blake2b(bodies[o][i : i + WINDOW], digest_size=16).digest()
                             extra.append((o, int.from_bytes(key[:4], "little") % buckets, i, 1, ALONE, 0, key))
                     rows = [np.concatenate([a, np.array(b, np.int64)]) for a, b in zip(rows[:6], list(zip(*extra))[:6])] + [cut + [x[6] for x in extra]]
-                doc = part.column(0).take(pa.array(rows[0]))
+                doc, row = (part.column(c).take(pa.array(rows[0])) for c in (0, 1))
                 types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
                 bucket_, start_, windows_, kind_, hash_, body_ = (pa.array(c, t) if t == pa.binary() else pa.array(np.asarray(c), pa.int64()).cast(t) for c, t in zip(rows[1:], types))
-                yield pa.RecordBatch.from_arrays([bucket_, doc, start_, windows_, kind_, hash_, body_], names=names)
+                yield pa.RecordBatch.from_arrays([bucket_, doc, row, start_, windows_, kind_, hash_, body_], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -358,10 +362,10 @@ def compared(docs: DataFrame, found: DataFrame, buckets: int, folder: str) -> Da
         alone = rows.filter(pa.array(kind == ALONE))
         if alone.num_rows:
             key = np.array(alone["body"].to_pylist(), dtype="V16").view("<u8").reshape(-1, 2)
-            d, s = alone["doc_id"].to_numpy(), alone["start"].to_numpy()
-            by = np.lexsort((s, d, key[:, 0], key[:, 1]))
+            d, r, s = (alone[c].to_numpy() for c in ("doc", "row", "start"))
+            by = np.lexsort((s, r, d, key[:, 0], key[:, 1]))
             later = np.append(False, (key[by][1:] == key[by][:-1]).all(axis=1))
-            yield spans_of(d[by][later], s[by][later])
+            yield spans_of(r[by][later], s[by][later])
         rest = rows.filter(pa.array(kind == COMPARE))
         if not rest.num_rows:
             return
@@ -375,20 +379,29 @@ def compared(docs: DataFrame, found: DataFrame, buckets: int, folder: str) -> Da
             base = size[lo - 1] if lo else 0
             hi = int(edges[max(np.searchsorted(edges, np.searchsorted(size, base + TOGETHER), "right") - 1, np.searchsorted(edges, lo, "right"))])
             part = rest.take(pa.array(order[lo:hi]))
-            yield spans_of(*compare_runs(part["doc_id"].to_numpy(), part["start"].to_numpy().astype(np.int64), part["windows"].to_numpy(), part["body"].to_pylist()))
+            yield spans_of(*compare_runs(part["doc"].to_numpy(), part["row"].to_numpy(), part["start"].to_numpy().astype(np.int64), part["windows"].to_numpy(), part["body"].to_pylist()))
             lo = hi
 
     pieces = cut.mapInArrow(fetch, schema)
-    return keep(pieces.repartition(buckets, "bucket").select("doc_id", "start", "windows", "kind", "hash", "body").mapInArrow(compare, SPAN), folder, "compared")
+    return keep(pieces.repartition(buckets, "bucket").select("doc", "row", "start", "windows", "kind", "hash", "body").mapInArrow(compare, SPAN), folder, "compared")
 
 
-def removed(docs: DataFrame, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id and body, spans: doc_id and the windows (start, count) that repeat)."""
-    folder = shared_folder(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    found = keep(meet_runs(find_runs(docs, buckets), buckets), folder, "found")
-    spans = found.filter(F.col("kind") == REPEAT).select("doc_id", "start", "windows").unionByName(compared(docs, found, buckets, folder))
-    return docs, spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+def numbered(docs: DataFrame, name: str, folder: str) -> DataFrame:
+    """``docs`` with a number for each row, by name of the file and row in it (see locator); 2**40 rows a file."""
+    place, file = free_name(docs, "_at"), free_name(docs, "_file")
+    docs = docs.withColumn(place, locator(docs)).withColumn(file, F.col(place)["file"])
+    files = docs.select(file).distinct().coalesce(1).sortWithinPartitions(file)
+    files = keep(files.withColumn(name, F.shiftleft(F.monotonically_increasing_id(), 40)), folder, "files")
+    return docs.join(files, file).withColumn(name, F.col(name) + F.col(place)["row"]).drop(place, file)
+
+
+def removed(docs: DataFrame, name: str, folder: str, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """(documents: doc_id, doc (its order), row and body, spans: row and the windows (start, count) that repeat); ``name`` is the column of the row's number."""
+    doc = F.col("doc_id").cast("long")
+    docs = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(-(1 << 63))).alias("doc"), F.col(name).alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    found = keep(meet_runs(find_runs(docs.drop("doc_id"), buckets), buckets), folder, "found")
+    spans = found.filter(F.col("kind") == REPEAT).select("row", "start", "windows").unionByName(compared(docs, found, buckets, folder))
+    return docs, spans.groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
 
 def cut_text(body: bytes, start: np.ndarray, windows: np.ndarray) -> tuple[list[bytes], int, int]:
@@ -406,7 +419,8 @@ def cut_text(body: bytes, start: np.ndarray, windows: np.ndarray) -> tuple[list[
 
 def dedup(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, in order) of each document."""
-    bodies, spans = removed(docs, buckets)
+    folder, row = shared_folder(docs.sparkSession), free_name(docs, "_row")
+    bodies, spans = removed(numbered(docs, row, folder), row, folder, buckets)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,12 +433,14 @@ def dedup(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return bodies.join(spans, "doc_id", "left").select("doc_id", "body", "spans").mapInArrow(run, schema)
+    return bodies.join(spans, "row", "left").select("doc_id", "body", "spans").mapInArrow(run, schema)
 
 
 def strip(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``docs`` with all columns, repeated bytes cut from text; letters cut in half go too, n_chars (if there) is counted anew."""
-    _, spans = removed(docs, buckets)
+    folder, row = shared_folder(docs.sparkSession), free_name(docs, "_row")
+    rows = numbered(docs, row, folder)
+    _, spans = removed(rows, row, folder, buckets)
     names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = names.index("text")
 
@@ -441,9 +457,9 @@ def strip(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                 columns[i] = pa.array([None if t is None else len(t) for t in texts], columns[i].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    key, found = free_name(docs, "_doc"), free_name(docs, "spans")
-    spans = spans.select(F.col("doc_id").alias(key), F.col("spans").alias(found))
-    return docs.join(spans, docs["doc_id"].cast("long") == spans[key], "left").select(*[docs[c] for c in names], found).mapInArrow(run, schema)
+    found = free_name(rows, "spans")
+    spans = spans.select(F.col("row").alias(row), F.col("spans").alias(found))
+    return rows.join(spans, row, "left").select(*names, found).mapInArrow(run, schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
