@@ -50,6 +50,15 @@ def test_warc_round_trip(spark):
     assert warc.write(pages.limit(0), folder).count() == 0
 
 
+def test_warc_of_rows_with_one_page_id(spark):
+    rows = [(1, "u", "A" * 5), (2, "u", "A" * 5), (2, "u", "B" * 7), (1, "u", "C" * 9), (3, "u", "C" * 9)]
+    folder = common.shared_folder(spark)
+    captures = warc.assemble(warc.read(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder), folder))
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.resolve(captures).collect())
+    assert got == [(1, 5, "response", None), (1, 9, "response", None), (2, 5, "revisit", 1), (2, 7, "response", None), (3, 9, "revisit", 1)]
+    assert {bytes(r.p) for r in captures.select(F.col("response.payload").alias("p")).collect()} >= {b"A" * 5, b"B" * 7, b"C" * 9}
+
+
 def test_language_id(spark):
     rng = random.Random(1)
     make = lambda parts: " ".join("".join(rng.choice(parts) for _ in range(3)) for _ in range(80))

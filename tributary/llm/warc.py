@@ -65,11 +65,12 @@ def capture_records(page_id: int, url: str | None, payload: bytes, revisits: int
 def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Archives of ``pages`` below ``folder``; (path, records) of each."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    marks = rows.select("page_id", F.length("payload").alias("n"), F.sha2("payload", 256).alias("d"))
+    rows = rows.withColumn("d", F.sha2("payload", 256))
+    marks = rows.select("page_id", F.length("payload").alias("n"), "d")
     marks = keep(marks, folder, "marks")
     first = marks.filter(F.col("n") >= least).groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    later = marks.join(first, "d").filter("page_id > first").groupBy("page_id").agg(F.min("first").alias("first"))
-    rows = rows.join(later, "page_id", "left")
+    later = marks.join(first, "d").filter("page_id > first").groupBy("page_id", "d").agg(F.min("first").alias("first"))
+    rows = rows.join(later, ["page_id", "d"], "left")  # other payloads of the same page_id stay
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
@@ -164,8 +165,8 @@ def resolve(captures: DataFrame) -> DataFrame:
     row = captures.select("page_id", "response.*")
     target = F.regexp_extract("refers_to", r"<page:(-?\d+)>", 1).cast("long")
     row = row.withColumn("refers_to", target)
-    originals = row.filter("type = 'response'").groupBy(F.col("page_id").alias("refers_to")).agg(F.max_by("payload_bytes", "record_id").alias("full"))
-    return row.join(originals, "refers_to", "left").select("page_id", F.when(F.col("type") == "revisit", F.col("full")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), "refers_to")
+    originals = row.filter("type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max_by("payload_bytes", "record_id").alias("full"))
+    return row.join(originals, ["refers_to", "payload_digest"], "left").select("page_id", F.when(F.col("type") == "revisit", F.col("full")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
