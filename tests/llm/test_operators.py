@@ -1,8 +1,10 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and extra columns, against brute force."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -73,6 +75,61 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict(test, none).collect()} == {"und"}
 
 
+def plain_kneser_ney(words, alphabet=5000, discount=0.75, floor=1e-7):
+    """Interpolated Kneser-Ney by dictionaries: the log probability of a word's letters and end mark."""
+    order = language_id.ORDER
+    grams = [Counter() for _ in range(order + 1)]
+    for w, n in words.items():
+        w = "^" + w + "$"
+        for i in range(1, len(w)):
+            for k in range(1, order + 1):
+                if i - k + 1 >= 0:
+                    grams[k][w[i - k + 1 : i + 1]] += n
+    for k in range(1, order):
+        before = Counter(g[1:] for g in grams[k + 1])
+        grams[k] = Counter({g: before[g] or n for g, n in grams[k].items()})
+
+    def p(gram):
+        k = len(gram)
+        if k == 1:
+            total = sum(grams[1].values())
+            return (grams[1][gram] - discount) / total + discount * len(grams[1]) / total / alphabet if gram in grams[1] else floor
+        same = [n for g, n in grams[k].items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram[1:])
+        return max(grams[k][gram] - discount, 0) / sum(same) + min(1, discount * len(same) / sum(same)) * p(gram[1:])
+
+    return lambda w: sum(math.log(p(("^" + w + "$")[max(0, i - order + 1) : i + 1])) for i in range(1, len(w) + 2))
+
+
+def test_language_models_equal_plain_kneser_ney():
+    rng = random.Random(6)
+    words = {lang: Counter("".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(150)) for lang, letters in (("a", "abcde"), ("b", "cdefgh"))}
+    models = language_id.Models(["a", "b"], {k: Counter({f"{language_id.START}{w}{language_id.STOP}": n for w, n in v.items()}) for k, v in words.items()})
+    asked = [*list(words["a"])[:20], *list(words["b"])[:20], "zz", "abzcd", "x"]
+    got = models.score(asked)
+    for j, lang in enumerate("ab"):
+        own = plain_kneser_ney(words[lang])
+        for i, w in enumerate(asked):
+            assert abs(got[i, j] - own(w)) < 1e-3 and got[i, -1] == len(w) + 1, (lang, w)
+
+
+def test_language_id_of_odd_labels(spark):
+    long = "漢字仮名交文" * 40  # a run of 240 letters
+    rows = [(i, "the thing at hand is there", "en") for i in range(40)] + [(i, long[i % 6 :], "ja") for i in range(40, 80)] + [(80, "12 345 !", "digits"), (81, "", "none"), (82, None, "none"), (0, "the thing at hand is there", "en")]
+    models = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert models.langs == ["en", "ja"]
+    pieces = spark.createDataFrame([(w,) for w in ("x", long, "y" * 40, "z" * 41)], "w string").select(language_id.marked(F.col("w")).alias("p")).collect()
+    for n in range(1, language_id.ORDER + 1):  # every n-gram counts once
+        for w, r in zip(("x", long, "y" * 40, "z" * 41), pieces):
+            codes, _, place = language_id.lay_out(r.p)
+            whole, _, where = language_id.lay_out([f"{language_id.START}{w}{language_id.STOP}"])
+            assert sorted(language_id.hashes(codes, n)[place >= max(1, n - 1)]) == sorted(language_id.hashes(whole, n)[where >= max(1, n - 1)])
+    test = spark.createDataFrame([(1, long[::-1], 5), (1, "at the", 6), (1, "at the", 6)], "doc_id long, text string, score int")
+    got = language_id.predict(test, models)
+    assert [f.dataType.typeName() for f in got.schema.fields if f.name == "score"] == ["double"] and sorted(r.lang_pred for r in got.collect()) == ["en", "en", "ja"]
+
+
 def test_packing_leaves_no_gap(spark):
     d = docs(spark)
     total = {r.doc_id: r.n_tokens + 1 for r in bpe_coding.digests(d).collect()}
@@ -171,6 +228,68 @@ def test_jaccard_join(spark):
     assert jaccard_join.join(docs(spark).limit(0)).count() == 0
 
 
+def near_texts():
+    """Groups of edited copies, from nearly equal to just below the threshold."""
+    rng, out = random.Random(12), []
+    for edits in (1, 2, 4, 6, 8, 10, 12, 14):
+        for _ in range(6):
+            words = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(150, 400))]
+            for _ in range(4):
+                copy = list(words)
+                for _ in range(rng.randint(0, edits) if edits < 14 else edits):
+                    copy[rng.randrange(len(copy))] = f"e{rng.randint(0, 10**9)}"
+                out.append(" ".join(copy))
+    return out
+
+
+def links_by_hand(texts):
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in (re.findall(r"\w+", t.lower()) for t in texts)]
+    return sets, [{j for j, b in enumerate(sets) if b != a and len(a & b) >= 0.8 * len(a | b)} for a in sets]
+
+
+def test_jaccard_join_finds_all_links(spark, monkeypatch):
+    texts = near_texts()
+    sets, want = links_by_hand(texts)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)  # components and nodes in many blocks
+    deep = []
+    own = jaccard_join.links_at
+    monkeypatch.setattr(jaccard_join, "links_at", lambda d, c, depth, *a: deep.append(depth) or own(d, c, depth, *a))
+    got = {r.doc_id: r for r in jaccard_join.join(docs(spark, texts)).collect()}
+    assert deep[0] == jaccard_join.DEPTH and len(deep) > 1 and deep == sorted(set(deep), reverse=True)
+    found, there = sum(r.n_links for r in got.values()), sum(len({sets[j] for j in w}) for w in want)
+    assert there > 250 and found >= 0.995 * there and all(got[i].n_links <= len({sets[j] for j in w}) for i, w in enumerate(want))
+    assert sum(got[i].n_links != len({sets[j] for j in w}) for i, w in enumerate(want)) <= 2
+
+
+def test_forest_depth_follows_the_links():
+    assert jaccard_join.next_depth({}, 8) == jaccard_join.depth_for() == 4  # nothing found proves nothing
+    assert jaccard_join.next_depth({0.99: 1_000_000}, 8) == 8
+    assert jaccard_join.next_depth({0.8: 1_000_000}, 8) == 4
+    assert 4 < jaccard_join.next_depth({0.85: 100_000}, 8) < 8
+    assert jaccard_join.next_depth({0.8: 1_000_000}, 4) == 4
+
+
+def test_jaccard_join_of_rows_with_one_doc_id(spark):
+    words = [f"w{i}" for i in range(300)]
+    near = [" ".join([*words[:k], f"e{k}", *words[k + 1 :]]) for k in (50, 200)]
+    other = " ".join(f"o{i}" for i in range(300))
+    rows = [(1, " ".join(words)), (2, near[0]), (2, other), (None, near[1]), (None, other + " x"), (2, near[0]), (3, None), (3, "")]
+    table = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, id int, root string")
+    got = sorted((r.doc_id or 0, r.n_links, r.class_size, r.group_id or 0) for r in jaccard_join.join(table).collect())
+    assert got == sorted([(1, 2, 1, 1), (2, 2, 2, 1), (2, 2, 2, 1), (2, 1, 1, 2), (0, 2, 1, 1), (0, 1, 1, 2), (3, 0, 1, 3), (3, 0, 1, 3)])
+    stay = jaccard_join.survivors(table)
+    assert stay.columns == table.columns and sorted((r.doc_id or 0, r.text or "") for r in stay.collect()) == sorted([(0, near[1]), (0, other + " x"), (3, ""), (3, "")])
+
+
+def test_exact_dedup_of_odd_identifiers(spark):
+    rows = [(None, "A b"), (5, "a B"), (None, "x"), (None, "X"), (5, "a b"), (7, None), (None, "")]
+    table = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, digest string, at int")
+    got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.dedup(table).collect())
+    assert [(g[2], g[1]) for g in got] == [(2, 0), (2, 0), (3, 5), (2, 7), (3, 5), (3, 5), (2, 7)] and sum(g[3] for g in got) == 3
+    stay = exact_dedup.survivors(table)
+    assert stay.columns == table.columns and sorted((r.text or "").lower() for r in stay.collect()) == ["", "a b", "x"]
+
+
 def test_exact_dedup_with_a_weak_digest(spark):
     d = docs(spark).unionByName(docs(spark, TEXTS[:1]))  # a repeated row
     weak = exact_dedup.dedup(d.repartition(3), digest=lambda c: F.substring(F.sha2(c, 256), 1, 1), max_files_per_trigger=1)
@@ -188,7 +307,7 @@ def test_multi_index_against_brute_force(spark):
     rows = [(i, v, 0) for i, v in enumerate(vectors)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell int")
     got = {}
-    for r in multi_index.search(table, F.col("vec_id") % 20 == 0, k=20).collect():
+    for r in multi_index.search(table, F.col("vec_id") % 20 == 0, k=20, recall=1.0, probes=10_000).collect():  # every vector tells how far to walk
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     good = {i: np.array(v) for i, v, _ in rows if v and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)}
     assert set(got) == {i for i in good if i % 20 == 0}
@@ -198,6 +317,32 @@ def test_multi_index_against_brute_force(spark):
     assert multi_index.search(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_multi_index_recall_of_a_partial_walk(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(30, 16)) * 2
+    vectors = np.concatenate([centers[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 16)) * 0.5, rng.normal(size=(3000, 16))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(40, vectors[40].tolist())], "vec_id long, embedding array<double>")  # a repeated row
+    walks, own = [], multi_index.Index.need
+    monkeypatch.setattr(multi_index.Index, "need", lambda self, *a: walks.append(own(self, *a)) or walks[-1])
+    found = {}
+    for r in multi_index.search(table, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert walks[0] < 0.7 * len(vectors) and set(found) == set(range(0, 6000, 20)) and len(found[40]) == 40
+    hit = 0
+    for q, rows in found.items():
+        scores = vectors @ vectors[q]
+        assert all(abs(s - scores[i]) < 1e-9 for _, i, s in rows) and [r for r, _, _ in sorted(rows)][:1] == [1]
+        scores[q] = -np.inf
+        hit += len({i for _, i, _ in rows} & set(np.argsort(-scores)[:20].tolist()))
+    assert hit >= 0.9 * 20 * len(found)
+
+
+def test_multi_index_of_single_numbers(spark):
+    table = spark.createDataFrame([(i, [float(i - 5)]) for i in range(12)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in multi_index.search(table, F.col("vec_id") == 0, k=3, recall=1.0, probes=100).collect()}
+    assert got == {(0, 1): (1, 20.0), (0, 2): (2, 15.0), (0, 3): (3, 10.0)}
+
+
 def test_bpe_equals_the_tokenizer(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = common.tokenizer_file()
@@ -228,7 +373,7 @@ def removed_by_hand(texts, width=100):
 
 
 def test_suffix_dedup(spark):
-    texts = [t for t in TEXTS if not t or len(t) < 100_000] + ["é" * 130 + LONG[300:420] + "é" * 130]
+    texts = TEXTS + ["é" * 130 + LONG[300:420] + "é" * 130]
     want = removed_by_hand(texts)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(docs(spark, texts), buckets=8).collect()}
     assert got == want
@@ -236,6 +381,16 @@ def test_suffix_dedup(spark):
     assert set(suffix_dedup.strip(docs(spark, texts), buckets=4).columns) == set(docs(spark).columns)
 
 
+def test_suffix_dedup_of_crowded_minimisers(spark):
+    rng = random.Random(8)
+    core = LONG[:130]
+    texts = [f"{rng.randint(0, 10**12)} {core}{rng.randint(0, 10**12)}" + "ab" * rng.randint(40, 90) for _ in range(40)]
+    want = removed_by_hand(texts)
+    for hot in (3, 4096):  # beyond 3 contents a minimiser's windows are dealt one by one
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(docs(spark, texts), buckets=4, hot=hot).collect()}
+        assert got == want
+
+
 def test_suffix_dedup_of_rows_with_one_doc_id(spark, tmp_path):
     other = " ".join(RNG.choice(WORDS) + str(RNG.randint(100, 999)) for _ in range(60))
     texts = [LONG, LONG, other, other[200:] + LONG[:150], "tail " + LONG[300:600], "short", "short"]  # the first row is repeated

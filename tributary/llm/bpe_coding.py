@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tokenizer_file
-from .tokens import WordBpe, bpe
+from .common import arrow_map, tokenizer_file
+from .tokens import OWNER, WordBpe, bpe
 
 #: Spelled chunks kept per task, and as many again of those before them.
 SPELLED = 250_000
@@ -33,7 +33,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 ids = [np.frombuffer(b"".join(map(model.table.__getitem__, c)), "<u4").astype(np.int32) for c in model.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids array<int>", OWNER)
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -46,7 +46,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
             texts = [model.decode(ids or ()) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return arrow_map(encoded.select("doc_id", "ids"), run, "doc_id long, text string", OWNER)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,7 @@ def digests(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids_sums), pa.array(text_sums)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema, OWNER)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,24 @@
-"""Small helpers that the operators share: the shared scratch folder and Arrow batches."""
+"""Small helpers that the operators share: scratch tables, row locators, Bloom filters and Python workers' memory."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (single-machine tests).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Rows of an Arrow batch: texts may be long.
+BATCH_ROWS = 1000
+#: Bits for each key of a Bloom filter, its hash functions, and the most bytes it is given (beyond, it passes more).
+BLOOM_BITS, BLOOM_HASHES, BLOOM_BYTES = 10, 4, 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,6 +26,7 @@ def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = f"file://{LOCAL_CHECKPOINTS}"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -25,6 +36,13 @@ def keep(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete tables of ``keep`` that nothing reads any more."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (Spark's names ignore case)."""
     taken = {c.lower() for c in df.columns}
@@ -33,8 +51,73 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def batches(columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+PLACE = "struct<file: string, row: long>"
+
+
+def located(docs: DataFrame, folder: str) -> DataFrame:
+    """``docs``, or a written copy of it, of which every row has a ``locator``."""
+    try:
+        docs.select(locator())
+    except AnalysisException:
+        return keep(docs, folder, "located")
+    return docs
+
+
+def locator() -> Column:
+    """File and row of a row, the same in every scan."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def probably_in(key: Column, keys: DataFrame, folder: str, name: str) -> Column:
+    """Whether ``key`` (a long) is in ``keys`` (one column of distinct longs); true for a few others too.
+
+    A Bloom filter, held once by each task, tells most other rows apart before an exact join shuffles them.
+    Of bounded size: with very many keys it is true for more.
+    """
+    n, (column,) = keys.count(), keys.columns
+    words = max(1, min(-(-n * BLOOM_BITS // 64), BLOOM_BYTES // 8))
+    bit = lambda k, i: F.pmod(F.xxhash64(F.lit(i), k), F.lit(words * 64))
+    bits = keys.select(F.explode(F.array(*[bit(F.col(column), i) for i in range(BLOOM_HASHES)])).alias("b"))
+    rows = bits.groupBy(F.expr("b div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int))) as w"))
+    every = rows.unionByName(keys.sparkSession.range(words).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("w"))).groupBy("i").agg(F.bit_or("w").alias("w"))
+    table = keep(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("words")), folder, name)
+    hit = F.lit(True)
+    for i in range(BLOOM_HASHES):
+        b = bit(key, i)
+        hit = hit & (F.getbit(F.get(table.scalar(), (b / 64).cast("int")), (b % 64).cast("int")) == 1)
+    return hit
+
+
+_memory: dict[str, object] = {}
+
+
+def remembered(owner: str, make: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker from task to task; another operator's goes first."""
+    if owner not in _memory:
+        _memory.clear()
+        _memory[owner] = make()
+    return _memory[owner]
+
+
+def release(owner: str | None = None) -> None:
+    """Give a Python worker's freed memory back to the system, with all that other operators remember."""
+    for k in [k for k in _memory if k != owner]:
+        del _memory[k]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, owner: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` by workers that hold nothing of earlier tasks (but what ``owner`` remembers)."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(owner)
+        yield from run(batches)
+        release(owner)
+
+    return df.mapInArrow(tidy, schema)
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:

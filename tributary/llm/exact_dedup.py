@@ -1,15 +1,16 @@
 """Exact deduplication by a stateful stream, in DataFrame functions only.
 
 Arrivals (digest, identifier, content locator) flow through a keyed streaming aggregation whose state has no
-expiry and lies on disk (RocksDB, with its snapshots in the shared folder).  The state of a digest holds the
-number of rows, the identifier of the row that stays and that row's locator.  A digest that was hit more than
-once is then checked on full bytes: the smallest and the largest of its normalised texts, found by partial
-aggregation, must be the same.  Should a digest cover different texts (no case is known for SHA-256, but a
-weaker digest is a parameter), its rows are grouped anew by the text itself.
+expiry and lies on disk (RocksDB, with its snapshots in the shared folder; all stores of an executor share bounded memory).  The
+state of a digest holds the number of rows, the identifier of the row that stays and that row's locator.  A digest that was hit
+more than once is then checked on full bytes: the locators of its rows go into a Bloom filter, so that few other texts are
+shuffled, and the smallest and the largest of its normalised texts, found by partial aggregation, must be the same.  Should a
+digest cover different texts (no case is known for SHA-256, but a weaker digest is a parameter), its rows are grouped anew by the text itself.
 
 Texts are equal when identical after lower-casing A-Z only; null counts as empty.  Of equal texts the row with
 the largest identifier stays; rows that even share the identifier are told apart by the locator, so that one
-row stays of each group.  Null identifiers sort first.  Empty tables give empty results; extra columns are
+row stays of each group.  Rows of a source without files are written to the shared folder first, so that a locator names the same
+row in every scan.  Null identifiers sort first.  Empty tables give empty results; extra columns are
 ignored.  Every group of copies is pre-aggregated by task before it is shuffled, and the join that brings
 the groups back to the rows can be split by adaptive execution.
 """
@@ -18,18 +19,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, keep, shared_folder
+from .common import PLACE, discard, free_name, keep, located, locator, probably_in, shared_folder
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # no space set aside for each of many small stores
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",  # of an executor, for all its stores
 }
-PLACE = "struct<file: string, row: long>"
 ARRIVAL = f"doc_id long, digest string, at {PLACE}"
 
 
@@ -41,19 +42,9 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def locator(docs: DataFrame) -> Column:
-    """File and row of a row where the source tells, else the row's place in the scan."""
-    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    try:
-        docs.select(place)
-    except AnalysisException:
-        return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
-    return place
-
-
 def bodies(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     body = normal(F.col("text"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"), digest(body).alias("digest"), locator(docs).alias("at"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"), digest(body).alias("digest"), locator().alias("at"))
 
 
 def stream_groups(spark: SparkSession, source: str, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -89,15 +80,21 @@ def stream_groups(spark: SparkSession, source: str, folder: str, max_files_per_t
 
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, max_files_per_trigger: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, digest, at (its locator)."""
+    folder = shared_folder(docs.sparkSession)
+    return dedup_located(located(docs, folder), folder, digest, max_files_per_trigger)
+
+
+def dedup_located(docs: DataFrame, folder: str, digest: Callable[[Column], Column] = sha256, max_files_per_trigger: int | None = None) -> DataFrame:
     spark = docs.sparkSession
-    folder = shared_folder(spark)
     whole = bodies(docs, digest)
     rows = keep(whole.select("doc_id", "digest", "at"), folder, "arrivals")
     keep(rows.limit(0).select("digest", F.lit(0).cast("long").alias("n"), F.struct("doc_id", "at").alias("keep"), F.lit(-1).cast("long").alias("batch")), folder, "updates/none")
     groups = keep(stream_groups(spark, f"{folder}/arrivals", folder, max_files_per_trigger), folder, "groups")
-    hits = groups.filter("n > 1").select("digest")
-    seen = whole.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi"))
+    hits = keep(rows.join(groups.filter("n > 1").select("digest"), "digest").select("digest", "at", F.xxhash64("at").alias("k")), folder, "hits")
+    some = whole.filter(probably_in(F.xxhash64("at"), hits.select("k").distinct(), folder, "bloom"))
+    seen = some.join(hits.select("at"), "at", "left_semi").groupBy("digest").agg(F.min("body").alias("lo"), F.max("body").alias("hi"))
     torn = keep(seen.filter("lo != hi").select("digest"), folder, "torn")
+    discard(spark, folder, "hits", "bloom")
     out = rows.join(groups, "digest")
     if not torn.isEmpty():
         bad = whole.join(torn, "digest", "left_semi")
@@ -108,9 +105,10 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, max_file
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    place = free_name(docs, "_at")
-    gone = dedup(docs).filter("not kept").select(F.col("at").alias(place))
-    return docs.withColumn(place, locator(docs)).join(gone, place, "left_anti").drop(place)
+    folder, place = shared_folder(docs.sparkSession), free_name(docs, "_at")
+    docs = located(docs, folder)
+    gone = dedup_located(docs, folder).filter("not kept").select(F.col("at").alias(place))
+    return docs.withColumn(place, locator()).join(gone, place, "left_anti").drop(place)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

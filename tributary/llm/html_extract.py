@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, shared_folder
+from .common import arrow_map, keep, shared_folder
 from .url_filter import host_of, path_of
 
 BLOCK = 256
@@ -225,7 +225,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
                 numbers.append([line_number(s, k == wanted) for s, k in zip(lines, kinds)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.array(numbers, pa.list_(pa.int64()))], names=["page_id", "url", "body", "lines"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
+    return arrow_map(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), run, schema)
 
 
 def line_number(line: str, fine: bool) -> int:
@@ -308,7 +308,7 @@ def extract(pages: DataFrame) -> DataFrame:
     keys = lined.select("row", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64("lines").alias("digest"), "lines")
     order = keys.repartitionByRange("host", "path", "page_id", "row").sortWithinPartitions("host", "path", "page_id", "row")
     order = order.withColumns({"part": F.spark_partition_id(), "i": F.expr("monotonically_increasing_id() & ((1L << 33) - 1)")})
-    placed = keep(order.mapInArrow(mark_runs, PLACED), folder, "placed")
+    placed = keep(arrow_map(order, mark_runs, PLACED), folder, "placed")
     ends = F.struct("host", "path", "digest")
     parts = placed.groupBy("part").agg(F.max("node").alias("node"), F.min_by(ends, "i").alias("first"), F.max_by(ends, "i").alias("last"))
     start, joined, last, before = {}, {}, None, 0
@@ -327,7 +327,7 @@ def extract(pages: DataFrame) -> DataFrame:
         lined = lined.join(placed.select("row", "rank").join(gone, "rank").drop("rank"), "row", "left")
     else:
         lined = lined.withColumn("gone", F.lit(None).cast("array<int>"))
-    return lined.select("page_id", "url", "body", "gone").mapInArrow(join_lines, "page_id long, url string, text string, n_chars long")
+    return arrow_map(lined.select("page_id", "url", "body", "gone"), join_lines, "page_id long, url string, text string, n_chars long")
 
 
 def join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

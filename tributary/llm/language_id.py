@@ -1,20 +1,20 @@
 """Language identification by interpolated Kneser-Ney character models in sorted hash arrays.
 
-For each language, Spark counts the character n-grams (up to ORDER, within words that carry a start and an end mark)
-of a bounded hash sample of labelled rows.  The driver turns the counts into interpolated Kneser-Ney
+For each language, Spark counts the words (with a start and an end mark; runs of more than LONGEST letters in pieces that overlap, so that
+every n-gram counts once) of a bounded hash sample of labelled rows.  The driver counts their character n-grams up to ORDER, and turns the counts into interpolated Kneser-Ney
 probabilities.  All languages share one sorted array of n-gram hashes per order; beside it stand the languages' log
 probabilities and back-off weights.  A letter is looked up at the longest order that any language has seen and,
 failing that, at shorter ones with the back-off weights added.  As no context crosses a word's border, each
 distinct word is scored once per task and kept in a bounded table.
 
 The language with the lowest cross-entropy per letter wins (ties: the first by name).  A text is rejected when its
-cross-entropy lies above the calibrated limit: the highest of a held-back part of the sample, plus SLACK nats, so
-that clean texts pass.  Null texts and texts without letters get ``und``, score 0, and are rejected.
+cross-entropy lies above the limit of that language: the quantile QUANTILE of a held-back part of its sample, plus SLACK nats, so
+that clean texts pass; a language without held-back rows rejects none.  Null texts and texts without letters get ``und``, score 0, and are rejected.
 ``score`` is the softmax over languages of minus the cross-entropy per letter, sharpened by SHARP.
 
-Rows with null lang are not learned from; with no labelled rows at all every text gets ``und``.  lang, source and
+Rows with null lang are not learned from, nor is a label without any letters in its sample; with no labelled rows at all every text gets ``und``.  lang, source and
 doc_id are never inputs of a prediction; doc_id only decides which rows are learned from.  Repeated rows count as often as they
-come; whole texts are read; extra columns are ignored.
+come; whole texts are read; columns of the input that are named like those of PREDICTED are replaced, other extra columns stay.
 """
 
 from __future__ import annotations
@@ -29,14 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import arrow_map, shared_folder
+
 ORDER, DISCOUNT = 5, 0.75
 #: Rows of each language that a model is fitted on, at most (in expectation: a hash sample).
 SAMPLE_ROWS = 1500
 #: Every CALIBRATE-th of them only calibrates the limit.
 CALIBRATE = 8
-SLACK, SHARP = 1.0, 8.0
-#: Distinct words kept per task, and the longest that is kept.
+QUANTILE, SLACK, SHARP = 0.99, 1.0, 8.0
+#: Distinct words whose scores are kept per task, and the longest that is kept or counted in one piece.
 TABLE, LONGEST = 200_000, 40
+START, STOP = "\x01", "\x02"
 WORD = re.compile(r"[^\W\d_]+")
 PREDICTED = "lang_pred string, score double, cross_entropy double, rejected boolean"
 
@@ -49,26 +52,39 @@ def hashes(codes: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of the n symbols that end at each place (places before the first n-1 are not meant)."""
     h = np.full(len(codes), np.uint64(n), np.uint64)
     for back in range(n - 1, -1, -1):
-        h = (h ^ np.concatenate([np.zeros(back, np.uint64), codes[: len(codes) - back]])) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ np.concatenate([np.zeros(min(back, len(codes)), np.uint64), codes[: max(0, len(codes) - back)]])) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h
 
 
-def lay_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all words in a row, each as start mark (1), letters, end mark (2); each symbol's word and place in it."""
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    codes = np.frombuffer("".join([f"\x01{w}\x02" for w in words]).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), size)
-    return codes, owner, np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+def marked(word: Column) -> Column:
+    """The pieces of a word, as ``lay_out`` takes them."""
+    n = F.length(word)
+    part = lambda i: F.concat(F.when(i == 0, START).otherwise(""), F.substring(word, F.greatest(i - (ORDER - 1), F.lit(0)) + 1, F.lit(LONGEST) + F.least(i, F.lit(ORDER - 1))), F.when(i + LONGEST >= n, STOP).otherwise(""))
+    return F.transform(F.sequence(F.lit(0), n - 1, F.lit(LONGEST)), part)
+
+
+def lay_out(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all pieces in a row; each symbol's piece and place in it.
+
+    A piece starts with the start mark (then letters, and the end mark where the word ends), or with ORDER - 1
+    letters that only are the context of the next ones: their place is -1.
+    """
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    first = np.cumsum(size) - size
+    place = np.arange(len(codes)) - np.repeat(first, size)
+    inner = np.repeat(codes[first] != ord(START), size) if len(codes) else np.zeros(0, bool)
+    return codes, np.repeat(np.arange(len(pieces)), size), np.where(inner & (place < ORDER - 1), -1, place)
 
 
 class Models:
     """One Kneser-Ney model per language, over one sorted hash array per order."""
 
     def __init__(self, langs: list[str], counts: dict[str, Counter]) -> None:
-        """counts: for each language how often each word came."""
+        """counts: for each language how often each piece (see ``lay_out``) came; none may be empty."""
         self.langs = langs
-        self.limit = math.inf
+        self.limits = np.full(len(langs), math.inf)
         raw = []
         for lang in langs:
             words = list(counts[lang])
@@ -86,7 +102,8 @@ class Models:
                 _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
                 per.append((h[first], back[first], low[first], np.bincount(inverse, weight[at], len(first)), place[at][first] == n - 1))
             grams.append(per)
-            self.keys.append(np.unique(np.concatenate([p[0] for p in per])) if per else np.zeros(0, np.uint64))
+            mark = [hashes(np.array([ord(START)], np.uint64), 1)] if n == 1 else []  # a context, though never predicted
+            self.keys.append(np.unique(np.concatenate([p[0] for p in per] + mark)) if per else np.zeros(0, np.uint64))
         shape = [(len(k), len(langs)) for k in self.keys]
         self.logp = [np.full(s, 0.0) for s in shape]
         self.back = [np.full(s, 0.0) for s in shape]  # log weight of the lower order, for an n-gram as context
@@ -138,7 +155,7 @@ class Models:
 
     def score(self, words: list[str]) -> np.ndarray:
         """Summed log probability of each word (rows) in each language; last column: its symbols but the start."""
-        codes, owner, place = lay_out(words)
+        codes, owner, place = lay_out([f"{START}{w}{STOP}" for w in words])
         total = np.zeros((len(codes), len(self.langs)), np.float32)
         live = np.flatnonzero(place > 0)
         for n in range(ORDER, 0, -1):
@@ -210,7 +227,7 @@ class Scorer:
             best = h[good].argmin(axis=1)
             low[good] = h[good, best]
             scores[good] = 1.0 / np.exp(-(h[good] - low[good, None]) * SHARP).sum(axis=1)
-            reject[good] = low[good] > self.models.limit
+            reject[good] = low[good] > self.models.limits[best]
             for i, b in zip(good.tolist(), best.tolist()):
                 langs[i] = self.models.langs[b]
         return langs, scores.tolist(), [None if math.isnan(x) else x for x in low.tolist()], reject.tolist()
@@ -226,10 +243,13 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Models:
     dice = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
     sample = known.filter(dice < share[F.col("lang")]).select("lang", "text", (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(8)), F.lit(CALIBRATE)) == 0).alias("tune"))
     words = sample.filter("not tune").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("w"))
-    counts: dict[str, Counter] = {k: Counter() for k in sorted(totals)}
-    for r in words.filter(F.length("w") <= LONGEST).groupBy("lang", "w").agg(F.count("*").alias("n")).toLocalIterator():
-        counts[r["lang"]][r["w"]] = r["n"]
-    models = Models(list(counts), counts)
+    words = words.filter("w != ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
+    counts: dict[str, Counter] = {}
+    for r in words.select("lang", F.explode(marked(F.col("w"))).alias("w"), "n").groupBy("lang", "w").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts.setdefault(r["lang"], Counter())[r["w"]] = r["n"]
+    models = Models(sorted(counts), counts)
+    if not counts:
+        return models
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, column = Scorer(models), {k: i for i, k in enumerate(models.langs)}
@@ -238,16 +258,19 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Models:
             h = scorer.entropies(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_pydict({"lang": langs, "h": [None if math.isnan(x := h[i, column[k]]) else float(x) for i, k in enumerate(langs)]}, pa.schema([("lang", pa.string()), ("h", pa.float64())]))
 
-    highest = sample.filter("tune").select("lang", "text").mapInArrow(own, "lang string, h double").agg(F.max("h")).first()[0]
-    if highest is not None:
-        models.limit = highest + SLACK
+    held_back = arrow_map(sample.filter(F.col("tune") & F.col("lang").isin(models.langs)).select("lang", "text"), own, "lang string, h double").filter("h IS NOT NULL")
+    for r in held_back.groupBy("lang").agg(F.percentile("h", F.lit(QUANTILE)).alias("h")).collect():  # a row per language
+        models.limits[models.langs.index(r["lang"])] = r["h"] + SLACK
     return models
 
 
 def predict(docs: DataFrame, models: Models) -> DataFrame:
-    """``docs`` (every column) with the columns of PREDICTED."""
+    """``docs`` (every column that does not clash) with the columns of PREDICTED."""
     spark = docs.sparkSession
+    shared_folder(spark)
     shared = spark.sparkContext.broadcast(models)
+    added = [c.split()[0] for c in PREDICTED.split(", ")]
+    docs = docs.select([c for c in docs.columns if c.lower() not in added])
     names = docs.columns
     at = names.index("text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), PREDICTED])
@@ -258,9 +281,9 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 langs, scores, low, reject = scorer.predict(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(low, pa.float64()), pa.array(reject, pa.bool_())], names=[*names, "lang_pred", "score", "cross_entropy", "rejected"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(low, pa.float64()), pa.array(reject, pa.bool_())], names=[*names, *added])
 
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

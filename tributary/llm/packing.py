@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tokenizer_file
-from .tokens import bpe
+from .common import arrow_map, shared_folder, tokenizer_file
+from .tokens import OWNER, bpe
 
 WINDOW, END = 4096, 2
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -100,6 +100,7 @@ def pack_partition(documents: Iterator[tuple[object, bytes]], first: int, window
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
     """Pieces (see PIECE) of all documents; the ids of a piece are those of its document from ``start`` on."""
+    shared_folder(docs.sparkSession)
     path, tail = tokenizer or tokenizer_file(), np.array([end], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bytes]]:
@@ -116,7 +117,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
         for columns in pack_partition(encode(batches), first, window):
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in columns.items()})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECE, OWNER)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

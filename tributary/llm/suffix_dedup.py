@@ -31,14 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, keep, shared_folder
-from .exact_dedup import locator
+from .common import arrow_map, discard, free_name, keep, located, locator, probably_in, shared_folder
 
 WINDOW, ANCHOR = 100, 24
 #: Different contents with one minimiser beyond which its windows are dealt out by their own fingerprints.
 HOT = 4096
-#: Buckets that minimisers are dealt to, and bytes of runs whose suffixes are sorted together.
-BUCKETS, TOGETHER = 256, 1 << 20
+#: Buckets that minimisers are dealt to, for each partition of the input and at least, and bytes of runs whose suffixes are sorted together.
+BUCKETS, LEAST, TOGETHER = 8, 256, 1 << 20
 #: Bytes of text handled at once (small enough that the arrays stay in the processor's cache); documents of a slice.
 CHUNK, SLICE = 1 << 18, 256
 RUN = np.dtype([("hash", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("windows", "<i4")])
@@ -148,7 +147,7 @@ def find_runs(docs: DataFrame, buckets: int, most: int = 500_000) -> DataFrame:
         if size:
             yield pack_buckets(*own_copies(np.concatenate(found)), buckets)
 
-    return docs.mapInArrow(run, "bucket int, runs binary")
+    return arrow_map(docs, run, "bucket int, runs binary")
 
 
 def gathered(docs: Iterator[tuple[int, int, bytes]]) -> Iterator[list[np.ndarray]]:
@@ -215,7 +214,7 @@ FOUND = "doc long, row long, start int, windows int, kind int, hash long"
 REPEAT, COMPARE, ALONE = 0, 1, 2
 
 
-def meet_runs(blocks: DataFrame, buckets: int) -> DataFrame:
+def meet_runs(blocks: DataFrame, buckets: int, hot_from: int) -> DataFrame:
     """FOUND rows: what repeats, and what must be compared by bytes (ALONE: window by window)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,11 +226,11 @@ def meet_runs(blocks: DataFrame, buckets: int) -> DataFrame:
                 else:
                     held.setdefault(bucket, []).append(block)
         for bucket in sorted(held):
-            again, rest, hot = sort_out(np.frombuffer(b"".join(held.pop(bucket)), RUN))
+            again, rest, hot = sort_out(np.frombuffer(b"".join(held.pop(bucket)), RUN), hot_from)
             yield rows_of([(again, REPEAT), (rest[~hot], COMPARE), (rest[hot], ALONE)])
 
     even = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
-    return blocks.repartition(buckets, even).mapInArrow(run, FOUND)
+    return arrow_map(blocks.repartition(buckets, even), run, FOUND)
 
 
 def suffix_order(text: np.ndarray, covers: int, enough: int = WINDOW) -> np.ndarray:
@@ -329,7 +328,8 @@ def spans_of(row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
 def compared(docs: DataFrame, found: DataFrame, buckets: int, folder: str) -> DataFrame:
     """SPAN rows of the windows that repeat among the runs that share a minimiser but not all bytes."""
     wanted = found.filter(F.col("kind") != REPEAT).groupBy("row").agg(F.collect_list(F.struct("start", "windows", "kind", "hash")).alias("runs"))
-    cut = docs.join(wanted, "row").select("doc", "row", "body", "runs")
+    wanted = keep(wanted, folder, "wanted")
+    cut = docs.filter(probably_in(F.col("row"), wanted.select("row"), folder, "bloom_wanted")).join(wanted, "row").select("doc", "row", "body", "runs")
     schema = "bucket int, doc long, row long, start int, windows int, kind int, hash long, body binary"
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,26 +382,38 @@ def compared(docs: DataFrame, found: DataFrame, buckets: int, folder: str) -> Da
             yield spans_of(*compare_runs(part["doc"].to_numpy(), part["row"].to_numpy(), part["start"].to_numpy().astype(np.int64), part["windows"].to_numpy(), part["body"].to_pylist()))
             lo = hi
 
-    pieces = cut.mapInArrow(fetch, schema)
-    return keep(pieces.repartition(buckets, "bucket").select("doc", "row", "start", "windows", "kind", "hash", "body").mapInArrow(compare, SPAN), folder, "compared")
+    pieces = arrow_map(cut, fetch, schema).repartition(buckets, "bucket").select("doc", "row", "start", "windows", "kind", "hash", "body")
+    return keep(arrow_map(pieces, compare, SPAN), folder, "compared")
 
 
 def numbered(docs: DataFrame, name: str, folder: str) -> DataFrame:
     """``docs`` with a number for each row, by name of the file and row in it (see locator); 2**40 rows a file."""
     place, file = free_name(docs, "_at"), free_name(docs, "_file")
-    docs = docs.withColumn(place, locator(docs)).withColumn(file, F.col(place)["file"])
+    docs = located(docs, folder)
+    docs = docs.withColumn(place, locator()).withColumn(file, F.col(place)["file"])
     files = docs.select(file).distinct().coalesce(1).sortWithinPartitions(file)
     files = keep(files.withColumn(name, F.shiftleft(F.monotonically_increasing_id(), 40)), folder, "files")
     return docs.join(files, file).withColumn(name, F.col(name) + F.col(place)["row"]).drop(place, file)
 
 
-def removed(docs: DataFrame, name: str, folder: str, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+def removed(docs: DataFrame, name: str, folder: str, buckets: int | None, hot: int) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, doc (its order), row and body, spans: row and the windows (start, count) that repeat); ``name`` is the column of the row's number."""
+    buckets = buckets or max(LEAST, BUCKETS * docs.select(F.spark_partition_id()).distinct().count())
     doc = F.col("doc_id").cast("long")
     docs = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(-(1 << 63))).alias("doc"), F.col(name).alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    found = keep(meet_runs(find_runs(docs.drop("doc_id"), buckets), buckets), folder, "found")
+    found = keep(meet_runs(find_runs(docs.drop("doc_id"), buckets), buckets, hot), folder, "found")
     spans = found.filter(F.col("kind") == REPEAT).select("row", "start", "windows").unionByName(compared(docs, found, buckets, folder))
-    return docs, spans.groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    spans = keep(spans.groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("spans")), folder, "spans")
+    discard(docs.sparkSession, folder, "found", "compared", "wanted", "bloom_wanted")
+    return docs, spans
+
+
+def with_spans(rows: DataFrame, row: str, spans: DataFrame, name: str, folder: str) -> DataFrame:
+    """``rows`` with their spans as column ``name``; only rows that may have some are shuffled."""
+    some = probably_in(F.col(row), spans.select("row"), folder, "bloom_spans")
+    spans = spans.select(F.col("row").alias(row), F.col("spans").alias(name))
+    none = F.lit(None).cast(spans.schema[name].dataType)
+    return rows.filter(some).join(spans, row, "left").unionByName(rows.filter(~some).withColumn(name, none))
 
 
 def cut_text(body: bytes, start: np.ndarray, windows: np.ndarray) -> tuple[list[bytes], int, int]:
@@ -417,10 +429,10 @@ def cut_text(body: bytes, start: np.ndarray, windows: np.ndarray) -> tuple[list[
     return stay, int((hi - lo).sum()), len(lo)
 
 
-def dedup(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def dedup(docs: DataFrame, buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, in order) of each document."""
     folder, row = shared_folder(docs.sparkSession), free_name(docs, "_row")
-    bodies, spans = removed(numbered(docs, row, folder), row, folder, buckets)
+    bodies, spans = removed(numbered(docs, row, folder), row, folder, buckets, hot)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,14 +445,14 @@ def dedup(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return bodies.join(spans, "row", "left").select("doc_id", "body", "spans").mapInArrow(run, schema)
+    return arrow_map(with_spans(bodies, "row", spans, "spans", folder).select("doc_id", "body", "spans"), run, schema)
 
 
-def strip(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def strip(docs: DataFrame, buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """``docs`` with all columns, repeated bytes cut from text; letters cut in half go too, n_chars (if there) is counted anew."""
     folder, row = shared_folder(docs.sparkSession), free_name(docs, "_row")
     rows = numbered(docs, row, folder)
-    _, spans = removed(rows, row, folder, buckets)
+    _, spans = removed(rows, row, folder, buckets, hot)
     names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = names.index("text")
 
@@ -458,8 +470,7 @@ def strip(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     found = free_name(rows, "spans")
-    spans = spans.select(F.col("row").alias(row), F.col("spans").alias(found))
-    return rows.join(spans, row, "left").select(*names, found).mapInArrow(run, schema)
+    return arrow_map(with_spans(rows, row, spans, found, folder).select(*names, found), run, schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,12 +18,15 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import regex
 
+from .common import remembered
+
+#: What a worker remembers these tables as.
+OWNER = "bpe"
 #: White space as Unicode defines it; ``str.split`` also splits at the four separators 1C to 1F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -261,7 +264,10 @@ class WordBpe:
         return " ".join([self.text[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
 def bpe(path: str) -> WordBpe:
-    """One per worker process, so that its tables serve task after task."""
-    return WordBpe(path)
+    """One per worker process, so that its tables serve task after task (see ``remembered``)."""
+    models = remembered(OWNER, dict)
+    if path not in models:
+        models.clear()
+        models[path] = WordBpe(path)
+    return models[path]

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, shared_folder
+from .common import arrow_map, keep, shared_folder
 
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "record_id string, type string, uri string, concurrent_to string, refers_to string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
@@ -89,7 +89,7 @@ def write(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
             files.move(temporary, path)
             yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([3 * n], pa.int64())})
 
-    return keep(rows.select("page_id", "url", "payload", "first").mapInArrow(run, "path string, records long"), folder, "manifest")
+    return keep(arrow_map(rows.select("page_id", "url", "payload", "first"), run, "path string, records long"), folder, "manifest")
 
 
 def parse(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -147,7 +147,7 @@ def read(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
             yield flush()
 
     paths = manifest.select("path")
-    return paths.repartition(max(1, manifest.count()), "path").mapInArrow(run, RECORD)
+    return arrow_map(paths.repartition(max(1, manifest.count()), "path"), run, RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:
