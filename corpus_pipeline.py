@@ -26,8 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates."""
-    others = jaccard_join.join(docs).filter("doc_id != group_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    return jaccard_join.survivors(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
