@@ -2,12 +2,15 @@
 
 from datetime import datetime, timedelta
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tributary import registry
-from tributary.operators import conversation, dashboard, quality, retrieval, silver, watchdog
+from tributary.operators import analyses, conversation, dashboard, quality, retrieval, silver, watchdog
 from tributary.sources import load
+from tributary.sources.binding import Tables
 
 T0 = datetime(2024, 1, 1)
 APP = "event_id long, hashed_device_id string, platform string, event_name string, event_timestamp timestamp_ntz, app_version string"
@@ -84,12 +87,102 @@ def test_referential(spark):
     assert got == [True, True, False, False]
 
 
+READS = (
+    "WITH x AS (SELECT * FROM ok_view) SELECT * FROM x LIMIT 3",
+    "WITH a AS (SELECT 1 AS k), b AS (SELECT * FROM a) SELECT sum(k) OVER (ORDER BY k) FROM b",
+    "SELECT count(*) FROM `ok_view` o JOIN (SELECT a FROM OK_VIEW WHERE a IN (SELECT a FROM ok_view)) p ON o.a = p.a",
+    "SELECT s, count(*) FROM ok_view GROUP BY s HAVING count(*) > 0 ORDER BY 1 LIMIT 2",
+    "SELECT a FROM ok_view UNION ALL SELECT 3 EXCEPT SELECT 4",
+    "SELECT DISTINCT CASE WHEN a = 1 THEN 2 END, CAST(a AS STRING), a || s, extract(YEAR FROM DATE '2020-01-01') FROM ok_view WHERE EXISTS (SELECT 1 FROM ok_view) AND s LIKE 'x%' AND a BETWEEN 0 AND 2",
+    "SELECT lag(a) OVER w FROM ok_view WINDOW w AS (PARTITION BY s ORDER BY a)",
+    "SELECT * FROM (VALUES (1), (2)) v(z)",
+)
+REFUSED = (
+    "SELECT * FROM secret",
+    "DROP VIEW ok_view",
+    "EXPLAIN SELECT * FROM ok_view",
+    "INSERT INTO ok_view SELECT 1, 'a'",
+    "SET x = 1",
+    "SELECT (SELECT max(a) FROM secret) FROM ok_view",
+    "SELECT sum(a) FILTER (WHERE a IN (SELECT a FROM secret)) FROM ok_view",
+    "SELECT * FROM ok_view o JOIN (SELECT * FROM secret) s ON true",
+    "SELECT * FROM ok_view, LATERAL (SELECT * FROM secret)",
+    "SELECT a FROM ok_view WHERE a > (WITH q AS (SELECT a FROM secret) SELECT max(a) FROM q)",
+    "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
+    "SELECT * FROM secret, (WITH secret AS (SELECT 1 AS a) SELECT * FROM secret) x",
+    "WITH b AS (SELECT * FROM a), a AS (SELECT 1 AS k) SELECT * FROM b",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM ok_view",
+    "SELECT a FROM ok_view ORDER BY java_method('java.util.UUID', 'randomUUID')",
+    "SELECT lag(a) OVER w FROM ok_view WINDOW w AS (ORDER BY reflect('java.lang.System', 'getProperty', 'user.home'))",
+    "SELECT TRANSFORM(a) USING 'cat' FROM ok_view",
+    "SELECT * FROM range(5)",
+    "SELECT z FROM ok_view LATERAL VIEW explode(array(1, 2)) t AS z",
+    "SELECT * FROM parquet.`/root/testdata/sf0.001/events.parquet`",
+)
+
+
 def test_governed_reads(spark):
-    spark.sql("SELECT 1 AS a").createOrReplaceTempView("ok_view")
-    assert load.governed(spark, "WITH x AS (SELECT * FROM ok_view) SELECT * FROM x LIMIT 3", {"ok_view"}).count() == 1
-    for bad in ("SELECT * FROM other", "DROP VIEW ok_view", "SELECT (SELECT max(a) FROM secret) FROM ok_view"):
+    spark.sql("SELECT 1 AS a, 'x' AS s").createOrReplaceTempView("ok_view")
+    spark.sql("SELECT 2 AS a").createOrReplaceTempView("secret")
+    for good in READS:
+        assert load.governed(spark, good, {"ok_view"}).count() > 0, good
+    for bad in REFUSED:
         with pytest.raises(PermissionError):
             load.governed(spark, bad, {"ok_view"})
+    assert load.governed(spark, "SELECT * FROM (VALUES (1), (2), (3)) v(z)", set(), cap=2).count() == 2
+
+
+def test_load_turns_nanoseconds_into_microseconds(spark, tmp_path):
+    pq.write_table(pa.table({"id": [1, 2], "ts": pa.array([1_700_000_000_123_456_789, None], pa.timestamp("ns"))}), tmp_path / "raw.parquet")
+    before = spark.conf.get(load.NANOS)
+    got = load.load_tables(spark, f"file://{tmp_path}", ["raw"], "bronze_test", {"raw": ["ts"]})["raw"]
+    assert got.schema["ts"].dataType.typeName() == "timestamp_ntz" and spark.conf.get(load.NANOS) == before
+    assert [r.ts for r in got.orderBy("id").collect()] == [datetime(2023, 11, 14, 22, 13, 20, 123456), None]
+    assert spark.catalog.getTable("bronze_test.raw").description == "as delivered"
+
+
+def test_links_need_a_strictly_later_open_and_consent(spark):
+    us = timedelta(microseconds=1)
+    web = spark.createDataFrame([(f"w{i}", "M", T0, "c") for i in range(4)], "user_pseudo_id string, market string, first_test_complete_ts timestamp_ntz, last_touch_campaign string")
+    app = spark.createDataFrame([(f"a{i}", "iOS", T0 + d, None, False, False) for i, d in enumerate((-us, 0 * us, us, us))], "hashed_device_id string, platform string, first_open_ts timestamp_ntz, paired_ts timestamp_ntz, d30_active boolean, censored boolean")
+    bridge = spark.createDataFrame([(f"h{i}", "DE", i < 3, "x", f"w{i}", f"a{i}") for i in range(4)], "hashed_id string, market string, opt_in_flag boolean, acquisition_channel string, web_pseudo_id string, app_device_id string")
+    got = silver.linked_journeys(silver.attribution_eligible(bridge), web, app).collect()
+    assert [(r.hashed_id, r.market) for r in got] == [("h2", "DE")]
+
+
+def test_context_keeps_the_last_five_first_lines(spark):
+    rows = [("c", 2 * i, "user", f"question number {i} is rather a long one") for i in range(7)] + [("c", 2 * i + 1, "assistant", f"\n  answer {i}\nmore") for i in range(6)]
+    rows += [("c", 20, "user", "and it?"), ("d", 0, "user", "it"), ("d", 1, "system", "x"), ("d", 2, "assistant", "y" * 200), ("d", 3, "assistant", "later"), ("d", 4, "user", "that")]
+    got = {(r.conv_id, r.turn): r.context for r in conversation.context(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()}
+    said = [f"question number {i} is rather a long one" + (f" => answer {i}" if i < 6 else "") for i in range(7)]
+    assert got["c", 20] == said[2:] and got["c", 12] is None and got["d", 0] == [] and got["d", 4] == ["it => " + "y" * 160]
+
+
+def test_support_windows(spark):
+    day = timedelta(1)
+    app = app_rows(spark, [("a", "app_open", T0), ("a", "app_open", T0 + 14 * day), ("b", "app_open", T0 + 15 * day), ("z", "app_open", T0 + 30 * day)])
+    support = spark.createDataFrame([(d, t) for d, t in (("a", T0), ("b", T0), ("late", T0 + 17 * day))], "hashed_device_id string, event_timestamp timestamp_ntz")
+    assert tuple(analyses.recovered_after_support(app, support).first()) == (2, 1, 0.5)
+
+
+def test_registry_lists_sorted_values(spark):
+    app = app_rows(spark, [("a", "x", T0), ("b", "w", T0)])
+    got = {(r.kind, r.table_name): r["values"] for r in watchdog.registry({"app_events": app.select("platform", "event_id")}, app, app).collect()}
+    assert got["column", "app_events"] == ["event_id:bigint", "platform:string"] and got["event_name", "app_events"] == ["w", "x"] and got["app_version", "app_events"] == ["6.2.1"]
+
+
+def test_cosine_ties_and_odd_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 0.0]), (4, [0.0, 1.0]), (5, None), (6, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r["rank"], r.vec_id, r.score) for r in retrieval.cosine_top_k(vectors, vectors.filter("vec_id = 0"), 4).orderBy("rank").collect()]
+    assert got == [(1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0), (4, 3, 0.0)]
+
+
+def test_build_stops_when_rows_are_lost(spark, monkeypatch):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    t.web = t.web.limit(10)
+    with pytest.raises(RuntimeError, match="web_events"):
+        registry.build(t)
 
 
 def test_load_mismatch_blocks(spark):

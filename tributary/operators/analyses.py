@@ -60,13 +60,11 @@ def cube_slice(cube: DataFrame, channel: str) -> DataFrame:
     return out.withColumn("completion_rate", ratio("test_completes", "test_starts"))
 
 
-def shift_scenarios(starts: DataFrame, pairing: DataFrame, downloads: DataFrame, weak: str, to: tuple[str, ...], shares: tuple[float, ...] = (0.1, 0.25)) -> DataFrame:
+def shift_scenarios(starts: DataFrame, pairing: DataFrame, weak: str, to: tuple[str, ...], shares: tuple[float, ...] = (0.1, 0.25)) -> DataFrame:
     """Net downloads and pairings if a share of a weak channel's completers came by the benchmark channels.
 
     starts: (channel, users_started); pairing: pairing_by_channel.  Rates are blended: sums over sums.
     """
-    spark = starts.sparkSession
-    scenario = spark.sql("SELECT * FROM VALUES " + ", ".join(f"(CAST({s} AS DOUBLE))" for s in shares) + " AS s(shift_share)")
     volume = starts.groupBy("channel").agg(F.sum("users_started").alias("s")).join(pairing, F.col("channel") == F.col("acquisition_channel"))
     is_to, is_weak = F.col("channel").isin(list(to)), F.col("channel") == weak
     total = lambda c, k: F.sum(F.when(c, F.col(k)).otherwise(0)).cast("double")
@@ -75,22 +73,49 @@ def shift_scenarios(starts: DataFrame, pairing: DataFrame, downloads: DataFrame,
         (total(is_to, "paired_users") / total(is_to, "linked_downloads")).alias("good_pair"), (total(is_weak, "paired_users") / total(is_weak, "linked_downloads")).alias("weak_pair"),
     )
     moved = F.col("shift_share") * F.col("weak_starts")
-    return scenario.crossJoin(one).select(
+    return scenario(starts, "shift_share", shares).crossJoin(one).select(
         "shift_share", F.round(moved, 6).alias("moved_starts"), F.round(moved * (F.col("good_dl") - F.col("weak_dl")), 6).alias("net_downloads"),
         F.round(moved * (F.col("good_dl") * F.col("good_pair") - F.col("weak_dl") * F.col("weak_pair")), 6).alias("net_pairings"),
     )
 
 
-def support_split(app_stages: DataFrame, app: DataFrame, support: str) -> DataFrame:
+def close_gap(starts: DataFrame, journeys: DataFrame, high: str, low: str, shares: tuple[float, ...] = (1 / 3, 1 / 2, 2 / 3)) -> DataFrame:
+    """What closing a share of the completion gap between two devices adds down the funnel.
+
+    starts: (device_category, users_started, users_completed).  The further steps take the rates of all linked journeys to completions.
+    """
+    at = lambda device, c: F.sum(F.when(F.col("device_category") == device, F.col(c)).otherwise(0)).cast("double")
+    one = starts.agg((at(high, "users_completed") / at(high, "users_started")).alias("high"), (at(low, "users_completed") / at(low, "users_started")).alias("low"), at(low, "users_started").alias("n"), F.sum("users_completed").cast("double").alias("completes"))
+    down = journeys.agg(F.count("*").alias("downloads"), n(F.col("is_paired")).alias("paired"), n(F.col("d30_active") & ~F.col("censored")).alias("retained"))
+    extra = F.col("gap_share") * (F.col("high") - F.col("low")) * F.col("n")
+    step = lambda c: F.round(extra * F.col(c) / F.col("completes"), 6)
+    rows = scenario(starts, "gap_share", shares).crossJoin(one).crossJoin(down)
+    return rows.select(F.round("gap_share", 6).alias("gap_share"), F.round(extra, 6).alias("extra_completes"), step("downloads").alias("extra_downloads"), step("paired").alias("extra_paired"), step("retained").alias("extra_retained"))
+
+
+def lift_linkable(shares_by_market: DataFrame, market: str, to: str, steps: tuple[float, ...] = (0.5, 1.0)) -> DataFrame:
+    """Linked users that a market would have if its linkable share closed a part of the gap to another market's."""
+    of = lambda m, c: F.max(F.when(F.col("market") == m, F.col(c)))
+    one = shares_by_market.agg(of(market, "linkable_share").alias("own"), of(to, "linkable_share").alias("goal"), of(market, "redirect_users").alias("users"), of(market, "bridge_users").alias("linked"))
+    target = F.col("own") + F.col("parity") * (F.col("goal") - F.col("own"))
+    rows = scenario(shares_by_market, "parity", steps).crossJoin(one)
+    return rows.select("parity", F.round(target, 6).alias("target_share"), F.round(target * F.col("users"), 6).alias("target_linked"), F.round(target * F.col("users") - F.col("linked"), 6).alias("extra_linked"))
+
+
+def scenario(like: DataFrame, name: str, values: tuple[float, ...]) -> DataFrame:
+    return like.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"(CAST({v!r} AS DOUBLE))" for v in values) + f" AS s({name})")
+
+
+def support_split(app_stages: DataFrame, support: DataFrame) -> DataFrame:
     """Retention of uncensored devices with and without a support event (a correlation)."""
-    helped = app.filter(F.col("event_name") == support).select("hashed_device_id").distinct().withColumn("helped", F.lit(True))
+    helped = support.select("hashed_device_id").distinct().withColumn("helped", F.lit(True))
     out = app_stages.filter("NOT censored").join(helped, "hashed_device_id", "left").groupBy(F.coalesce("helped", F.lit(False)).alias("had_support"))
     return out.agg(F.count("*").alias("devices"), n(F.col("d30_active")).alias("retained")).withColumn("retention_rate", ratio("retained", "devices"))
 
 
-def recovered_after_support(app: DataFrame, support: str, window: int = 14) -> DataFrame:
+def recovered_after_support(app: DataFrame, support: DataFrame, window: int = 14) -> DataFrame:
     """Devices whose window after the first support event has closed, and those that opened the app again within it."""
-    first = app.filter(F.col("event_name") == support).groupBy("hashed_device_id").agg(F.min("event_timestamp").alias("helped_ts"))
+    first = support.groupBy("hashed_device_id").agg(F.min("event_timestamp").alias("helped_ts"))
     first = first.withColumn("horizon", app.agg(F.max("event_timestamp")).scalar()).filter(F.col("helped_ts") + days(window) <= F.col("horizon"))
     opens = app.filter("event_name = 'app_open'").select(F.col("hashed_device_id").alias("d"), "event_timestamp")
     after: Column = (F.col("event_timestamp") > F.col("helped_ts")) & (F.col("event_timestamp") <= F.col("helped_ts") + days(window))

@@ -18,15 +18,18 @@ def referential(text: Column, short: int = 5) -> Column:
 
 
 def context(turns: DataFrame, last: int = 5, cut: int = 160) -> DataFrame:
-    """Per user turn: conv_id, turn, referential, context (the last questions with the first line of their answers, newest last)."""
+    """Per user turn: conv_id, turn, referential, context (the last questions with the first line of their answers, newest last).
+
+    A question's answer is the next assistant turn before the next question; it is stripped before its first line is taken.
+    """
     order = W.partitionBy("conv_id").orderBy("turn")
-    answer = F.first(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-    following = F.first(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-    at = F.first(F.when(F.col("role") == "assistant", F.col("turn")), ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-    rows = turns.withColumns({"a": answer, "next_user": following, "a_turn": at}).filter("role = 'user'")
-    line = F.substring(F.split(F.when(F.col("next_user").isNull() | (F.col("a_turn") < F.col("next_user")), F.col("a")), "\n")[0], 1, cut)
-    said = F.concat_ws(" => ", F.col("text"), line)
-    rows = rows.withColumn("said", said)
+    # from the end backwards, the latest turn seen is the next one: a frame that only grows
+    back = W.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(W.unboundedPreceding, -1)
+    nearest = lambda role, c: F.last(F.when(F.col("role") == role, c), ignorenulls=True).over(back)
+    rows = turns.withColumns({"next_user": nearest("user", F.col("turn")), "answer": nearest("assistant", F.struct("turn", "text"))}).filter("role = 'user'")
+    own = F.when(F.col("next_user").isNull() | (F.col("answer.turn") < F.col("next_user")), F.col("answer.text"))
+    line = F.substring(F.regexp_extract(F.regexp_replace(own, r"^\s+", ""), r"^([^\r\n]*)", 1), 1, cut)
+    rows = rows.withColumn("said", F.concat_ws(" => ", F.col("text"), line))
     before = F.collect_list("said").over(order.rowsBetween(-last, -1))
     flag = referential(F.coalesce("text", F.lit("")))
     return rows.select("conv_id", "turn", flag.alias("referential"), F.when(flag, before).alias("context"))

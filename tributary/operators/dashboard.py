@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.scratch import keep, shared_folder
+
 from .gold import ratio, week
 
 #: Which column of a cube each filter means.
@@ -130,8 +132,14 @@ class Board:
     CARDS = ("funnel_stages", "step_conversions", "completion_by_channel", "completion_by_device", "completion_channel_device", "downloads_by_channel", "pairing_by_channel", "pairing_by_platform_market", "d30_by_channel", "weekly_test_starts")
 
     def run(self) -> DataFrame:
-        """All cards in long form: card, dims (joined by |), measure, value; over the cubes filtered once."""
-        self.web, self.app = self.web.cache(), self.app.cache()
+        """All cards in long form: card, dims (joined by |), measure, value, and the applied range (start, end, label).
+
+        The filtered cubes are written once and read by every card.
+        """
+        folder = shared_folder(self.web.sparkSession)
+        self.web, self.app = keep(self.web, folder, "web"), keep(self.app, folder, "app")
+        start, end = self.filters.date_start, self.filters.date_end
+        applied = {"start": F.lit(start).cast("date"), "end": F.lit(end).cast("date"), "label": F.lit(f"{start or 'first day'} to {end or 'last day'}" if start or end else "all days")}
         out = []
         for card in self.CARDS:
             df = getattr(self, card)()
@@ -140,7 +148,7 @@ class Board:
             pairs = [x for v in values for x in (F.lit(v), F.col(v).cast("double"))]
             label = F.concat_ws("|", *[F.coalesce(F.col(d).cast("string"), F.lit("")) for d in dims])
             out.append(df.select(F.lit(card).alias("card"), label.alias("dims"), F.stack(F.lit(len(values)), *pairs).alias("measure", "value")))
-        return reduce(DataFrame.unionByName, out)
+        return reduce(DataFrame.unionByName, out).withColumns(applied)
 
     def headline(self) -> DataFrame:
         t = self.totals().select("test_starts", "test_completes", "store_redirects", "downloads", "paired_users")

@@ -35,6 +35,10 @@ def rates_in_range(marts: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def all_of(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def unique_grain(name: str, df: DataFrame, keys: list[str]) -> DataFrame:
     double = df.groupBy(*keys).count().filter("count > 1").agg(F.count("*").alias("bad"))
     return verdict(double, "unique_grain", F.lit(name), F.col("bad"), F.lit(0), F.col("bad") == 0)

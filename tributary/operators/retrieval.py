@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,21 +49,41 @@ def bm25(docs: DataFrame, query: str, k: int = 10, k1: float = 1.5, b: float = 0
     part = F.col("qn") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     out = scored.groupBy("doc_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
     top = out.orderBy(F.desc("score"), "doc_id").limit(k)
-
-
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")))
 
 
-def cosine_top_k(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
-    """vec_id, score, rank against a one-row table (embedding); a zero norm gives 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, c: a.cast("double") * c.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    rows = vectors.withColumn("_q", query.select("embedding").scalar())
-    v, q = F.col("embedding"), F.col("_q")
-    norm = F.sqrt(dot(v, v)) * F.sqrt(dot(q, q))
-    top = rows.select("vec_id", F.round(F.when(norm == 0, 0.0).otherwise(dot(v, q) / norm), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
-
-
-    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "vec_id")))
+#: Queries, and vectors, that meet in one task.
+QUERIES, ROWS = 1024, 8192
+
+
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, vec_id, score, rank: the k nearest of all vectors for each query; a zero norm gives 0, ties go to the smaller vec_id.
+
+    vectors and queries: vec_id, embedding (null ones take no part).  Both are dealt in blocks, and each pair of blocks is one matrix product.
+    """
+    blocks = lambda df, n: max(1, -(-df.count() // n))
+    vectors, queries = (df.filter("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")) for df in (vectors, queries))
+    d = queries.agg(F.mode(F.size("v"))).scalar()  # vectors of another length take no part
+    vectors, queries = vectors.filter(F.size("v") == d), queries.filter(F.size("v") == d)
+    nv, nq = blocks(vectors, ROWS), blocks(queries, QUERIES)
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("q", own(nq)).withColumn("b", every(nv)).groupBy("q", "b")
+    right = vectors.withColumn("b", own(nv)).withColumn("q", every(nq)).groupBy("q", "b")
+
+    def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(rows):
+            unit = lambda m: m / np.maximum(np.sqrt((m**2).sum(axis=1)), 1e-300)[:, None]
+            ids, scores = rows["vec_id"].to_numpy(), np.round(unit(np.stack(asked["v"].to_numpy())) @ unit(np.stack(rows["v"].to_numpy())).T, 6)
+            for q, own in zip(asked["vec_id"], scores):
+                best = np.lexsort((ids, -own))[:k]
+                out += zip([q] * len(best), ids[best].tolist(), own[best].tolist())
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+    near = left.cogroup(right).applyInPandas(meet, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def to_embed(chunked: DataFrame, cache: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ FINDING = ("check", "severity", "subject", "direction", "z")
 # Severities, worst last, and the exit codes they mean.
 RANK = {"info": 1, "warning": 2, "critical": 3}
 EXIT = {"none": 0, "info": 0, "warning": 1, "critical": 2}
+Day = Column  # the as-of day: a date, such as the scalar of ``default_day``
 
 
 @dataclass(frozen=True)
@@ -43,20 +44,20 @@ def band(series: DataFrame, keys: list[str], value: str, rows: int) -> DataFrame
     return out.withColumns({"band_lower": F.col("band_avg") - spread, "band_upper": F.col("band_avg") + spread, "deviation_z": z})
 
 
-def event_volumes(web: DataFrame, app: DataFrame, as_of: str, t: Thresholds = Thresholds()) -> DataFrame:
+def event_volumes(web: DataFrame, app: DataFrame, as_of: Day, t: Thresholds = Thresholds()) -> DataFrame:
     """Daily counts by event, segment and source on the day, against the rows before."""
     parts = [(web, "country", "web"), (app, "platform", "app")]
     daily = [
-        df.filter(F.to_date("event_timestamp") <= F.to_date(F.lit(as_of))).groupBy(F.to_date("event_timestamp").alias("day"), "event_name", F.col(seg).alias("segment")).agg(F.count("*").alias("actual_count")).withColumn("source", F.lit(name))
+        df.filter(F.to_date("event_timestamp") <= as_of).groupBy(F.to_date("event_timestamp").alias("day"), "event_name", F.col(seg).alias("segment")).agg(F.count("*").alias("actual_count")).withColumn("source", F.lit(name))
         for df, seg, name in parts
     ]
     rows = reduce(DataFrame.unionByName, daily)
-    return band(rows, ["event_name", "segment", "source"], "actual_count", t.band).filter(F.col("day") == F.to_date(F.lit(as_of)))
+    return band(rows, ["event_name", "segment", "source"], "actual_count", t.band).filter(F.col("day") == as_of)
 
 
-def funnel_rates(web: DataFrame, app: DataFrame, eligible: DataFrame, as_of: str, t: Thresholds = Thresholds()) -> DataFrame:
+def funnel_rates(web: DataFrame, app: DataFrame, eligible: DataFrame, as_of: Day, t: Thresholds = Thresholds()) -> DataFrame:
     """Same-day activity ratios of event counts: start -> complete, complete -> download (linked population), download -> pair."""
-    day, upto = F.to_date("event_timestamp").alias("day"), F.to_date("event_timestamp") <= F.to_date(F.lit(as_of))
+    day, upto = F.to_date("event_timestamp").alias("day"), F.to_date("event_timestamp") <= as_of
     name = F.col("event_name")
     w = web.filter(upto).groupBy(day).agg(n(name == "hearing_test_start").alias("starts"), n(name == "hearing_test_complete").alias("completes"))
     a = app.filter(upto).groupBy(day).agg(n(name == "app_open").alias("opens"), n(name == "hearing_aid_paired").alias("pairs"))
@@ -65,7 +66,7 @@ def funnel_rates(web: DataFrame, app: DataFrame, eligible: DataFrame, as_of: str
     step = lambda df, s, x, y: df.select("day", F.lit(s).alias("step"), F.coalesce(x, F.lit(0)).alias("from_count"), F.coalesce(y, F.lit(0)).alias("to_count")).filter("from_count > 0 OR to_count > 0")
     rows = step(w, "start_to_complete", "starts", "completes").unionByName(step(lw.join(la, "day", "full"), "complete_to_download", "done", "got")).unionByName(step(a, "download_to_pair", "opens", "pairs"))
     rows = rows.withColumn("conversion_rate", F.col("to_count").cast("double") / F.nullif("from_count", F.lit(0)))
-    return band(rows, ["step"], "conversion_rate", t.band).filter(F.col("day") == F.to_date(F.lit(as_of)))
+    return band(rows, ["step"], "conversion_rate", t.band).filter(F.col("day") == as_of)
 
 
 def severity(z: Column, t: Thresholds) -> Column:
@@ -125,9 +126,9 @@ def version_drift(observed: DataFrame, expected: DataFrame) -> DataFrame:
     return _finding(new, "version_drift", F.lit("warning"), F.col("value"), F.lit("new"))
 
 
-def missing_events(web: DataFrame, app: DataFrame, expected: DataFrame, as_of: str) -> DataFrame:
+def missing_events(web: DataFrame, app: DataFrame, expected: DataFrame, as_of: Day) -> DataFrame:
     """Expected events (table_name, value) without a row on the day."""
-    on = F.to_date("event_timestamp") == F.to_date(F.lit(as_of))
+    on = F.to_date("event_timestamp") == as_of
     seen = [df.filter(on).select(F.lit(t).alias("table_name"), F.col("event_name").alias("value")) for t, df in (("web_events", web), ("app_events", app))]
     gone = expected.join(seen[0].unionByName(seen[1]).distinct(), ["table_name", "value"], "left_anti")
     return _finding(gone, "missing_event", F.lit("critical"), F.concat_ws(":", "table_name", "value"), F.lit("absent"))
@@ -148,7 +149,8 @@ def roll_up(findings: DataFrame) -> DataFrame:
     top = findings.withColumn("i", F.row_number().over(W.orderBy(rank().desc(), "check", "subject"))).filter("i <= 3").select("subject", "i", rank().alias("k"))
     names = top.agg(F.max("k").alias("kk"), F.collect_list(F.struct("i", "k", "subject")).alias("rows"))
     names = names.select(F.concat_ws(",", F.transform(F.array_sort(F.filter("rows", lambda x: x["k"] == F.col("kk"))), lambda x: x["subject"])).alias("top"))
-    return one.withColumn("worst", worst).withColumn("exit_code", F.when(F.col("worst") == "critical", 2).when(F.col("worst") == "warning", 1).otherwise(0)).drop("r").crossJoin(names)
+    code = F.create_map(*[F.lit(x) for item in EXIT.items() for x in item])[F.col("worst")]
+    return one.withColumn("worst", worst).withColumn("exit_code", code).drop("r").crossJoin(names)
 
 
 def registry(tables: dict[str, DataFrame], web: DataFrame, app: DataFrame) -> DataFrame:

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from tributary.operators import silver
 from tributary.operators.silver import Retention
+from tributary.scratch import keep, shared_folder
 
+#: The driver's tables that the event tables are derived from.
+RAW = ("events", "customer", "nation", "region")
 #: The driver's data span 30 days.
 DRIVER_RETENTION = Retention(7, 14, 13)
 
@@ -38,7 +41,7 @@ def funnel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenth = F.floor(F.col("k") / 10).cast("int")
     events = read("events").select("event_id", "ts", "event_type", "user_id", k.alias("k"))
     return events.join(people, F.col("c_custkey") == F.col("user_id")).select(
-        "event_id", "ts", "event_type", F.concat(F.col("user_id").cast("string"), F.lit("-"), tenth.cast("string")).alias("eid"),
+        "event_id", "ts", "event_type", "k", F.concat(F.col("user_id").cast("string"), F.lit("-"), tenth.cast("string")).alias("eid"),
         pick(F.col("k") % 5, {0: "summer_hearing_meta", 1: "tiktok_awareness", 2: "brand_search", 3: "retargeting_meta"}).alias("utm_campaign"),
         pick(F.col("user_id") % 3, {0: "desktop", 1: "mobile"}, "tablet").alias("device_category"), "country", "consent_state",
         F.when(tenth % 2 == 0, "iOS").otherwise("Android").alias("platform"), pick(F.col("event_id") % 3, {0: "6.2.1", 1: "6.3.0"}, "6.3.1").alias("app_version"),
@@ -83,6 +86,20 @@ class Tables:
             F.col("eid").alias("web_pseudo_id"), F.col("eid").alias("app_device_id"), (F.col("first_open") + F.expr("INTERVAL 2 HOUR")).alias("linked_at"),
         )
 
+    @cached_property
+    def support(self) -> DataFrame:
+        """Support sessions: like pairings, they are stood in for by error events (those with k below 30)."""
+        return self.events.filter((F.col("event_type") == "error") & (F.col("k") < 30)).select("event_id", F.col("eid").alias("hashed_device_id"), F.col("ts").alias("event_timestamp"))
+
+    def materialised(self) -> Tables:
+        """The same tables with events and stages written once, for jobs that read them many times."""
+        folder = shared_folder(self.spark)
+        out = Tables(self.spark, self.sf_dir, self.retention)
+        out.events = keep(self.events, folder, "events")
+        for name in ("bridge", "web_stages", "app_stages", "journeys"):
+            setattr(out, name, keep(getattr(out, name), folder, name))
+        return out
+
     @cached_property
     def web_stages(self) -> DataFrame:
         return silver.web_user_stages(self.web)
