@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,8 +12,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (single-machine tests).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from tributary import scratch
+from tributary.scratch import keep
+
 #: Rows of an Arrow batch: texts may be long.
 BATCH_ROWS = 1000
 #: Bits for each key of a Bloom filter, its hash functions, and the most bytes it is given (beyond, it passes more).
@@ -22,18 +22,9 @@ BLOOM_BITS, BLOOM_HASHES, BLOOM_BYTES = 10, 4, 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{LOCAL_CHECKPOINTS}"
+    """A new folder below ``spark.checkpoint.dir``; Arrow batches are kept small from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def keep(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``df`` below ``folder`` and read it again: a cut in the lineage that survives lost executors."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    return scratch.shared_folder(spark)
 
 
 def discard(spark: SparkSession, folder: str, *names: str) -> None:
@@ -63,6 +54,11 @@ def located(docs: DataFrame, folder: str) -> DataFrame:
     return docs
 
 
+def row_key() -> Column:
+    """A locator in 128 bits."""
+    return F.struct(F.xxhash64(F.lit(1), locator()).alias("a"), F.xxhash64(F.lit(2), locator()).alias("b"))
+
+
 def locator() -> Column:
     """File and row of a row, the same in every scan."""
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
@@ -74,18 +70,30 @@ def probably_in(key: Column, keys: DataFrame, folder: str, name: str) -> Column:
     A Bloom filter, held once by each task, tells most other rows apart before an exact join shuffles them.
     Of bounded size: with very many keys it is true for more.
     """
-    n, (column,) = keys.count(), keys.columns
-    words = max(1, min(-(-n * BLOOM_BITS // 64), BLOOM_BYTES // 8))
-    bit = lambda k, i: F.pmod(F.xxhash64(F.lit(i), k), F.lit(words * 64))
-    bits = keys.select(F.explode(F.array(*[bit(F.col(column), i) for i in range(BLOOM_HASHES)])).alias("b"))
-    rows = bits.groupBy(F.expr("b div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int))) as w"))
-    every = rows.unionByName(keys.sparkSession.range(words).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("w"))).groupBy("i").agg(F.bit_or("w").alias("w"))
-    table = keep(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("words")), folder, name)
-    hit = F.lit(True)
-    for i in range(BLOOM_HASHES):
-        b = bit(key, i)
-        hit = hit & (F.getbit(F.get(table.scalar(), (b / 64).cast("int")), (b % 64).cast("int")) == 1)
-    return hit
+    return Bloom(keys, min(keys.count() * BLOOM_BITS, 8 * BLOOM_BYTES), BLOOM_HASHES, folder, name).passes(key)
+
+
+class Bloom:
+    """A Bloom filter of the values of ``keys`` (one column), as a one-row table in the shared folder."""
+
+    def __init__(self, keys: DataFrame, bits: int, hashes: int, folder: str, name: str, seed: int = 0) -> None:
+        words = max(1, -(-bits // 64))
+        self.bits, self.hashes, self.seed = words * 64, hashes, seed
+        ones = keys.select(F.explode(F.array(*[self.bit(F.col(keys.columns[0]), i) for i in range(hashes)])).alias("b"))
+        rows = ones.groupBy(F.expr("b div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int))) as w"))
+        every = rows.unionByName(keys.sparkSession.range(words).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("w"))).groupBy("i").agg(F.bit_or("w").alias("w"))
+        self.table = keep(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("words")), folder, name)
+
+    def bit(self, key: Column, i: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(self.seed + i), key), F.lit(self.bits))
+
+    def passes(self, key: Column) -> Column:
+        """For rows, not inside functions of arrays: there, each row would get a copy of the filter."""
+        out = F.lit(True)
+        for i in range(self.hashes):
+            b = self.bit(key, i)
+            out = out & (F.getbit(F.get(self.table.scalar(), (b / 64).cast("int")), (b % 64).cast("int")) == 1)
+        return out
 
 
 _memory: dict[str, object] = {}

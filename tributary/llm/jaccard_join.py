@@ -147,14 +147,14 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     while not stars(edges):
         step += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), folder, f"{name}m{step}")  # apart from the join, so that a crowded vertex can be split there
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         large = keep(large, folder, f"{name}l{step}")
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
+        low2 = keep(large.groupBy("a").agg(F.min("b").alias("m")), folder, f"{name}n{step}")
         small = large.join(low2, "a")
         small = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low2.select("a", F.col("m").alias("b"))).distinct()
         edges = keep(small, folder, f"{name}s{step}")
-        discard(edges.sparkSession, folder, f"{name}l{step}", f"{name}s{step - 1}" if step > 1 else f"{name}0")
+        discard(edges.sparkSession, folder, f"{name}l{step}", f"{name}m{step}", f"{name}n{step}", f"{name}s{step - 1}" if step > 1 else f"{name}0")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 

@@ -5,27 +5,32 @@ path that starts with its own.  A url's candidate keys are the host suffixes at
 path prefixes of the lengths that occur among the rules.  The cascade answers "is this key listed?" exactly
 for every candidate key of the corpus: level 1 holds the listed keys, level 2 the unlisted corpus keys that
 pass level 1, level 3 the listed keys that pass level 2, and so on until no key is wrong.  The first level
-that a key fails decides.  Allow rules and block rules have a cascade each, so a candidate's answer is its
+that a key fails decides.  Level 1 is sized by how many unlisted keys the corpus has for each listed one, so that about as
+many pass it as are listed; later levels halve.  Allow rules and block rules have a cascade each, so a candidate's answer is its
 verdict too, and no url is joined with the rules.
 
+Keys are dealt into shards by hash, as many as keep a level below MOST_BYTES, and each shard has cascades of its own; one
+shard's levels are held by the executors at a time.  Candidates are tested as rows, for which a task holds a level once;
+only the hits of a url, mostly none or one, come together again.
+
 Defined results: a null url, or one without ``://``, has empty host and path and no rule; the verdict is then
-``default``.  Longest rule string wins; of equally long ones the one with the longer host.  Empty rule lists
-and empty tables work; extra columns of the input are not read.  Repeated rows give repeated results.
+``default``.  Longest rule string wins; of equally long ones the one with the longer host.  A rule that is listed with both actions blocks.
+Empty rule lists and empty tables work; columns of the input named host, path, rule or verdict are replaced, other extra
+columns stay.  Repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, shared_folder
+from .common import Bloom, free_name, keep, located, row_key, shared_folder
 
-#: Bits of a level for each key in it, and hash functions of a level.
-BITS_PER_KEY, HASHES = 8, 3
-#: Largest level that is sent to the executors; longer lists go by an ordinary join.
-MAX_FILTER_BYTES = 64 << 20
+#: The most bytes of a level; longer lists go in more shards.
+MOST_BYTES = 16 << 20
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -49,89 +54,65 @@ def candidates(host: Column, path: Column, lengths: Sequence[int]) -> Column:
     return F.transform(F.array_sort(keys), lambda k: k["key"])
 
 
-def _bit(key: Column, level: int, i: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(level * HASHES + i), key), F.lit(bits))
-
-
-def _level(keys: DataFrame, level: int, folder: str) -> tuple[DataFrame, int]:
-    """One row with the level's words, in order; its bits."""
-    spark, n = keys.sparkSession, keys.count()
-    words = max(1, -(-n * BITS_PER_KEY // 64))
-    if words * 8 > MAX_FILTER_BYTES:
-        raise OverflowError(f"a level of {words * 8} bytes")
-    bits = keys.select(F.explode(F.array(*[_bit(F.col("key"), level, i, words * 64) for i in range(HASHES)])).alias("b"))
-    sparse = bits.groupBy(F.expr("b div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 as int))) as w"))
-    dense = sparse.unionByName(spark.range(words).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("w"))).groupBy("i").agg(F.bit_or("w").alias("w"))
-    row = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("words"))
-    return keep(row, folder, f"level{level}"), words * 64
-
-
-def _passes(key: Column, level: int, words: Column, bits: int) -> Column:
-    out = F.lit(True)
-    for i in range(HASHES):
-        b = _bit(key, level, i, bits)
-        out = out & (F.getbit(F.get(words, (b / 64).cast("int")), (b % 64).cast("int")) == 1)
-    return out
+def level_size(listed: int, others: int, level: int) -> tuple[int, int]:
+    """(bits for each key, hash functions) of a level: the first passes about listed / sqrt(2) of the others, later ones half."""
+    hashes = max(1, math.ceil(math.log2(max(2.0, math.sqrt(2) * others / max(1, listed))))) if level == 0 else 1
+    return math.ceil(hashes / math.log(2)), hashes
 
 
 class Cascade:
     """Exact membership for the keys of ``universe`` (key, listed); its levels are tables in the shared folder."""
 
     def __init__(self, universe: DataFrame, folder: str) -> None:
-        self.levels: list[tuple[DataFrame, int]] = []
-        listed, others = universe.filter("listed"), universe.filter("not listed")
-        inside, outside = listed.select("key"), others.select("key")
-        if inside.isEmpty():
-            return
-        while True:
+        self.levels: list[Bloom] = []
+        inside, outside = universe.filter("listed").select("key"), universe.filter("not listed").select("key")
+        n, others = inside.count(), outside.count()
+        while n:
             level = len(self.levels)
-            self.levels.append(_level(inside, level, folder))
-            wrong = keep(outside.filter(_passes(F.col("key"), level, self.levels[-1][0].scalar(), self.levels[-1][1])), folder, f"wrong{level}")
-            if wrong.isEmpty():
-                return
-            inside, outside = wrong, inside
-
-    def attach(self, df: DataFrame, name: str) -> DataFrame:
-        """The levels' words as columns of ``df``, for ``contains``."""
-        return df.withColumns({f"{name}{i}": row.scalar() for i, (row, _) in enumerate(self.levels)})
+            bits, hashes = level_size(n, others, level)
+            self.levels.append(Bloom(inside, n * bits, hashes, folder, f"level{level}", seed=100 * level))
+            inside, outside = keep(outside.filter(self.levels[-1].passes(F.col("key"))), folder, f"wrong{level}"), inside
+            n = inside.count()
 
-    def contains(self, key: Column, name: str) -> Column:
+    def contains(self, key: Column) -> Column:
         """The first level that a key fails decides: an odd one (counted from 0) means listed."""
         out = F.lit(len(self.levels) % 2 == 1)
         for level in range(len(self.levels) - 1, -1, -1):
-            out = F.when(_passes(key, level, F.col(f"{name}{level}"), self.levels[level][1]), out).otherwise(F.lit(level % 2 == 1))
+            out = F.when(self.levels[level].passes(key), out).otherwise(F.lit(level % 2 == 1))
         return out
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", most_bytes: int = MOST_BYTES) -> DataFrame:
     """``pages`` with host, path, rule and verdict.  rules: (action ``allow`` or ``block``, rule)."""
-    spark, folder = pages.sparkSession, shared_folder(pages.sparkSession)
-    rules = rules.filter("rule is not null").groupBy("rule").agg(F.max("action").alias("action"))
+    folder = shared_folder(pages.sparkSession)
+    pages = located(pages, folder)
+    rules = keep(rules.filter("rule is not null").groupBy("rule").agg(F.max("action").alias("action")), folder, "rules")
     lengths = [r[0] for r in rules.select((F.length("rule") - F.instr("rule", "/") + 1).alias("n")).distinct().orderBy("n").collect()]
-    out = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    host, path, row = host_of(F.col(url)), path_of(F.col(url)), free_name(pages, "_row")
+    out = pages.withColumn(row, row_key()).select(row, *[c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")], host.alias("host"), path.alias("path"))
     if not lengths:
-        return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return out.drop(row).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     keys = candidates(F.col("host"), F.col("path"), lengths)
-    corpus = pages.select(host_of(F.col(url)).alias("host"), F.substring(path_of(F.col(url)), 1, max(lengths)).alias("path")).distinct()
-    corpus = corpus.select(F.explode(keys).alias("key"), F.lit(0).alias("l"))
+    corpus = pages.select(host.alias("host"), F.substring(path, 1, max(lengths)).alias("path")).distinct().select(F.explode(keys).alias("key"), F.lit(0).alias("l"))
     listing = rules.select(F.col("rule").alias("key"), F.when(F.col("action") == "block", 2).otherwise(1).alias("l"))
     universe = keep(corpus.unionByName(listing).groupBy("key").agg(F.max("l").alias("l")), folder, "universe")
-    try:
-        allow = Cascade(universe.select("key", (F.col("l") == 1).alias("listed")), f"{folder}/allow")
-        block = Cascade(universe.select("key", (F.col("l") == 2).alias("listed")), f"{folder}/block")
-    except OverflowError:
-        return _joined(out, rules, keys, default)
-    hit = F.filter(F.transform(keys, lambda k: F.struct(k.alias("rule"), F.when(block.contains(k, "_block"), "block").when(allow.contains(k, "_allow"), "allow").alias("verdict"))), lambda x: x["verdict"].isNotNull())
-    found = allow.attach(block.attach(out, "_block"), "_allow").withColumn("_hit", F.get(hit, F.lit(0)))
-    return found.select(*out.columns, F.col("_hit.rule").alias("rule"), F.coalesce("_hit.verdict", F.lit(default)).alias("verdict"))
-
-
-def _joined(out: DataFrame, rules: DataFrame, keys: Column, default: str) -> DataFrame:
-    """The same for rule lists too long for a filter: distinct (host, path) pairs meet the rules in a join."""
-    pairs = out.select("host", "path").distinct()
-    found = pairs.select("host", "path", F.posexplode(keys).alias("at", "rule")).join(rules, "rule").groupBy("host", "path").agg(F.min_by(F.struct("rule", "action"), "at").alias("_hit"))
-    out = out.join(found, ["host", "path"], "left")
-    return out.withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.action", F.lit(default))}).drop("_hit")
+    size = universe.agg(F.count_if(F.col("l") > 0).alias("listed"), F.count_if(F.col("l") == 0).alias("others")).first()
+    shards = max(1, -(-size["listed"] * level_size(size["listed"], size["others"], 0)[0] // (8 * most_bytes)))
+    shard = F.pmod(F.xxhash64(F.lit(-1), "key"), F.lit(shards))
+    asked = pages.select(row_key().alias(row), host.alias("host"), path.alias("path")).select(row, F.posexplode(keys).alias("at", "key"))
+    found = []
+    for s in range(shards):
+        own = universe.filter(shard == s)
+        block = Cascade(own.select("key", (F.col("l") == 2).alias("listed")), f"{folder}/block{s}")
+        allow = Cascade(own.select("key", (F.col("l") == 1).alias("listed")), f"{folder}/allow{s}")
+        action = F.when(block.contains(F.col("key")), "block").when(allow.contains(F.col("key")), "allow")
+        hits = asked.filter(shard == s).withColumn("action", action).filter("action IS NOT NULL")
+        found.append(keep(hits, folder, f"hits{s}") if shards > 1 else hits)
+    hits = found[0]
+    for other in found[1:]:
+        hits = hits.unionByName(other)
+    best = hits.groupBy(row).agg(F.min_by(F.struct(F.col("key").alias("rule"), "action"), "at").alias("_hit"))
+    return out.join(best, row, "left").drop(row).withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.action", F.lit(default))}).drop("_hit")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
