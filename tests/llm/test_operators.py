@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -211,6 +212,62 @@ def test_html_differencing_inside_articles(spark):
     assert texts_of(spark, [page(1), page(1)]) == ["shared notice body of page 1, long enough more of 1"] * 2
 
 
+def shared_by_hand(a, b):
+    """Whether each line of either page is shared; None for near copies.  Pages: (line, whether it may be text)."""
+    x, y = [s for s, _ in a], [s for s, _ in b]
+    out = []
+    for page, own, other in ((a, x, y), (b, y, x)):
+        gone = set(html_extract.common_lines([hash(s) for s in own], [hash(s) for s in other]))
+        fine = [(i in gone, len(s)) for i, (s, f) in enumerate(page) if f]
+        edge = max(1, len(fine) // 4)
+        inner = list(fine)
+        for _ in range(edge):
+            if inner and inner[0][0]:
+                inner.pop(0)
+        rest = list(inner)
+        for _ in range(edge):
+            if rest and rest[-1][0]:
+                rest.pop()
+        if fine and 2 * sum(n for g, n in rest if g) >= sum(n for _, n in rest):
+            return None
+        out.append(gone)
+    return out
+
+
+def test_html_of_a_whole_table_against_brute_force(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(table).collect()}
+    keyed = table.select("page_id", html_extract.host_of(F.col("url")).alias("host"), html_extract.path_of(F.col("url")).alias("path"), "html").collect()
+    nodes: list[list] = []  # pages of one host with the same lines, side by side
+    for r in sorted(keyed, key=lambda r: (r.host, r.path, r.page_id)):
+        lines, kinds = html_extract.page_lines(r.html or "")
+        wanted = html_extract.ARTICLE if html_extract.ARTICLE in kinds else html_extract.PLAIN
+        page = [(s, k == wanted) for s, k in zip(lines, kinds)]
+        if nodes and nodes[-1][0].host == r.host and nodes[-1][1] == page:
+            nodes[-1][2].append(r)
+            nodes[-1][3] = r.path
+        else:
+            nodes.append([r, page, [r], r.path])
+    start = lambda a, b: len(os.path.commonprefix([a, b]))
+    pairs = {}
+    for i in range(1, len(nodes)):
+        (_, a, _, last), (r, b, _, _) = nodes[i - 1], nodes[i]
+        if nodes[i - 1][0].host == r.host:
+            pairs[i] = start(r.path, last), shared_by_hand(a, b)
+    touched = 0
+    for i, (_, page, rows, _) in enumerate(nodes):
+        gone = set()
+        for _, before, k in sorted([(pairs[k][0], k == i, k) for k in (i, i + 1) if k in pairs], reverse=True):
+            if pairs[k][1] is not None:
+                gone = pairs[k][1][1 if before else 0]
+                break
+        text = " ".join(s for j, (s, fine) in enumerate(page) if fine and j not in gone)
+        touched += any(fine and j in gone for j, (_, fine) in enumerate(page))
+        for r in rows:
+            assert got.pop(r.page_id) == (text, len(text)), r.page_id
+    assert not got and touched > 0
+
+
 def test_html_copies_keep_their_text(spark):
     page = lambda names: "<div>top</div>" + "".join(f"<p>paragraph {n} of the text</p>" for n in names) + "<div>end</div>"
     whole = lambda names: " ".join(["top", *(f"paragraph {n} of the text" for n in names), "end"])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, keep, shared_folder
+from .common import arrow_map, discard, keep, probably_in, shared_folder
 from .url_filter import host_of, path_of
 
 BLOCK = 256
@@ -323,8 +323,11 @@ def extract(pages: DataFrame) -> DataFrame:
         placed = placed.withColumns({"rank": F.col("node") + by_part(start).cast("long"), "near": F.when(F.col("i") == 0, by_part(joined)).otherwise(F.col("near"))})
         blocks = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col("rank") + d) / BLOCK)))
         ranked = placed.filter("head and near >= -1").withColumn("block", F.explode(blocks)).select("block", "rank", "near", "lines")
-        gone = ranked.groupBy("block").applyInPandas(compare_block, "rank long, gone array<int>")
-        lined = lined.join(placed.select("row", "rank").join(gone, "rank").drop("rank"), "row", "left")
+        gone = keep(ranked.groupBy("block").applyInPandas(compare_block, "rank long, gone array<int>"), folder, "gone")
+        gone = keep(placed.select("row", "rank").join(gone, "rank").drop("rank"), folder, "cut")
+        some = probably_in(F.col("row"), gone.select("row"), folder, "bloom")  # only these pages' lines are shuffled
+        lined = lined.filter(some).join(gone, "row", "left").unionByName(lined.filter(~some).withColumn("gone", F.lit(None).cast("array<int>")))
+        discard(spark, folder, "placed", "gone")
     else:
         lined = lined.withColumn("gone", F.lit(None).cast("array<int>"))
     return arrow_map(lined.select("page_id", "url", "body", "gone"), join_lines, "page_id long, url string, text string, n_chars long")
