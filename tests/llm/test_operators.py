@@ -463,6 +463,25 @@ def test_suffix_dedup_of_crowded_minimisers(spark):
         assert got == want
 
 
+def test_suffix_dedup_with_a_weak_fingerprint(spark, monkeypatch):
+    """Runs of one fingerprint and different bytes keep what they do not share."""
+    own = suffix_dedup.gathered
+
+    def weak(rows):
+        for group in own(rows):
+            for runs in group:
+                runs["content"] = runs["windows"] % 2
+            yield group
+
+    monkeypatch.setattr(suffix_dedup, "gathered", weak)
+    texts = [LONG[:700], LONG[300:1000], "v" * 250, LONG[:700], LONG[650:] + "v" * 120]
+    found = suffix_dedup.own_copies(next(weak([(i, i, t.encode()) for i, t in enumerate(texts)]))[0])
+    assert len(found[1])
+    want = removed_by_hand(texts)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(docs(spark, texts), buckets=4).collect()}
+    assert got == want
+
+
 def test_suffix_dedup_of_rows_with_one_doc_id(spark, tmp_path):
     other = " ".join(RNG.choice(WORDS) + str(RNG.randint(100, 999)) for _ in range(60))
     texts = [LONG, LONG, other, other[200:] + LONG[:150], "tail " + LONG[300:600], "short", "short"]  # the first row is repeated

@@ -6,16 +6,18 @@ same doc_id, or earlier in the same text).  Most windows of a corpus are unique,
 1. Every window has a minimiser: the smallest hash of its ANCHOR-byte substrings, the leftmost of equals.  Equal windows have
    equal minimisers.  Neighbouring windows with one minimiser form a run, about 40 windows.
 2. Runs are shuffled by minimiser hash, packed in binary blocks, a task's own copies of a run already removed (they
-   start later, so their windows repeat).  Runs with the same content: all but the earliest repeat.  Runs whose minimiser
+   start later, so their windows repeat).  Runs with the same content: all but the earliest repeat, once step 3 has confirmed it.  Runs whose minimiser
    occurs in one content only are unique.  What is left is the runs that share a minimiser but not all of their bytes.
-3. The bytes of those runs are fetched, dealt out by minimiser again, and each task builds the suffix array of its
+3. Contents are told apart by quick fingerprints, so the bytes of each run that repeats, and of the one that stays, are hashed once more, by
+   BLAKE2 in 128 bits; should the runs of one fingerprint differ (no case is known), all windows under their minimiser are dealt out one by one, as
+   below.  The bytes of the runs that are left are fetched, dealt out by minimiser again, and each task builds the suffix array of its
    runs with the difference cover modulo 3: sample suffixes are sorted by triples, named, the names recurse (until names are
    unique or cover the window), the other suffixes are merged in, and neighbours in the array that agree in their first
    WINDOW bytes are one string; all but its earliest start repeat.
    A minimiser with more than HOT different contents is dealt window by window instead, by the window's own fingerprint, so no
    task gets an unbounded group.
 
-Fingerprints have 128 bits.  Defined results: null text counts as empty; matches never cross documents, and a text
+Windows dealt one by one are told apart by BLAKE2 in 128 bits.  Defined results: null text counts as empty; matches never cross documents, and a text
 of fewer than WINDOW bytes loses nothing.  Rows are told apart by file
 and row, so of rows with the same doc_id the one earlier there (by name of the file, then row) counts as earlier, and
 repeated rows are removed but for one.  A null doc_id counts as the smallest.  Extra columns are ignored; an empty table gives none.
@@ -113,7 +115,8 @@ def own_copies(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the earliest run of each content, the others)."""
     order = np.lexsort((runs["start"], runs["row"], runs["doc"], runs["content"], runs["hash"]))
     runs = runs[order]
-    again = np.append(False, (runs["hash"][1:] == runs["hash"][:-1]) & (runs["content"][1:] == runs["content"][:-1]))
+    again = np.zeros(len(runs), bool)
+    again[1:] = (runs["hash"][1:] == runs["hash"][:-1]) & (runs["content"][1:] == runs["content"][:-1])
     return runs[~again], runs[again]
 
 
@@ -207,27 +210,37 @@ def sort_out(runs: np.ndarray, hot: int = HOT) -> tuple[np.ndarray, np.ndarray,
 def rows_of(parts: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
     kind = np.concatenate([np.full(len(r), k, np.int32) for r, k in parts])
     runs = np.concatenate([r for r, _ in parts])
-    return pa.RecordBatch.from_arrays([pa.array(runs["doc"]), pa.array(runs["row"]), pa.array(runs["start"]), pa.array(runs["windows"]), pa.array(kind), pa.array(runs["hash"].view(np.int64))], names=["doc", "row", "start", "windows", "kind", "hash"])
+    columns = [runs["doc"], runs["row"], runs["start"], runs["windows"], kind, runs["hash"].view(np.int64), runs["content"].view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in FOUND.split(", ")])
 
 
-FOUND = "doc long, row long, start int, windows int, kind int, hash long"
-REPEAT, COMPARE, ALONE = 0, 1, 2
+FOUND = "doc long, row long, start int, windows int, kind int, hash long, content long"
+REPEAT, COMPARE, ALONE, FIRST = range(4)
+
+
+def both(runs: np.ndarray) -> np.ndarray:
+    return mix(runs["hash"] ^ runs["content"] * np.uint64(_FACTOR))
 
 
 def meet_runs(blocks: DataFrame, buckets: int, hot_from: int) -> DataFrame:
-    """FOUND rows: what repeats, and what must be compared by bytes (ALONE: window by window)."""
+    """FOUND rows: what repeats, what stays of it (FIRST), and what must be compared by bytes (ALONE: window by window)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
+        gone: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if bucket < 0:
-                    yield rows_of([(np.frombuffer(block, RUN), REPEAT)])
+                    runs = np.frombuffer(block, RUN)
+                    gone.setdefault(-1 - bucket, []).append(np.unique(both(runs)))
+                    yield rows_of([(runs, REPEAT)])
                 else:
                     held.setdefault(bucket, []).append(block)
         for bucket in sorted(held):
-            again, rest, hot = sort_out(np.frombuffer(b"".join(held.pop(bucket)), RUN), hot_from)
-            yield rows_of([(again, REPEAT), (rest[~hot], COMPARE), (rest[hot], ALONE)])
+            runs = np.frombuffer(b"".join(held.pop(bucket)), RUN)
+            again, rest, hot = sort_out(runs, hot_from)
+            first = runs[np.isin(both(runs), np.concatenate([both(again), *gone.pop(bucket, [])]))]
+            yield rows_of([(again, REPEAT), (own_copies(first)[0], FIRST), (rest[~hot], COMPARE), (rest[hot], ALONE)])
 
     even = F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))
     return arrow_map(blocks.repartition(buckets, even), run, FOUND)
@@ -325,43 +338,58 @@ def spans_of(row: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(row[edge].astype(np.int64)), pa.array(start[edge].astype(np.int32)), pa.array(np.diff(np.append(edge, len(row))).astype(np.int32))], names=["row", "start", "windows"])
 
 
-def compared(docs: DataFrame, found: DataFrame, buckets: int, folder: str) -> DataFrame:
-    """SPAN rows of the windows that repeat among the runs that share a minimiser but not all bytes."""
-    wanted = found.filter(F.col("kind") != REPEAT).groupBy("row").agg(F.collect_list(F.struct("start", "windows", "kind", "hash")).alias("runs"))
-    wanted = keep(wanted, folder, "wanted")
-    cut = docs.filter(probably_in(F.col("row"), wanted.select("row"), folder, "bloom_wanted")).join(wanted, "row").select("doc", "row", "body", "runs")
-    schema = "bucket int, doc long, row long, start int, windows int, kind int, hash long, body binary"
+#: Digests of runs that a task remembers as sent.
+SENT = 500_000
+
+
+def compared(docs: DataFrame, found: DataFrame, buckets: int, folder: str, name: str) -> DataFrame:
+    """SPAN rows of the windows that repeat among the runs that share a minimiser but not all bytes; and, with 0 windows and the
+    minimiser as row, of runs that share a fingerprint but not their digest."""
+    wanted = found.groupBy("row").agg(F.collect_list(F.struct("start", "windows", "kind", "hash", "content")).alias("runs"))
+    wanted = keep(wanted, folder, f"wanted_{name}")
+    cut = docs.filter(probably_in(F.col("row"), wanted.select("row"), folder, f"bloom_{name}")).join(wanted, "row").select("doc", "row", "body", "runs")
+    schema = "bucket int, doc long, row long, start int, windows int, kind int, hash long, content long, body binary"
+    names, types = [c.split()[0] for c in schema.split(", ")], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    digest = lambda data: hashlib.blake2b(data, digest_size=16).digest()
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in schema.split(", ")]
-        for batch in batches:
-            for part in slices(batch):
-                edge, (start, windows, kind, h) = lists_of(part.column(3), "start", "windows", "kind", "hash")
-                owner = np.repeat(np.arange(part.num_rows), np.diff(edge))
-                whole, bodies = kind == COMPARE, part.column(2).to_pylist()
-                cut = [bodies[o][s : s + n + WINDOW - 1] for o, s, n in zip(owner[whole].tolist(), start[whole].tolist(), windows[whole].tolist())]
-                bucket = (h[whole].view(np.uint64) >> np.uint64(40)).astype(np.int64) % buckets
-                rows = [owner[whole], bucket, start[whole], windows[whole], kind[whole], h[whole], cut]
-                if not whole.all():
-                    extra: list[tuple] = []
-                    for o, s, n in zip(owner[~whole].tolist(), start[~whole].tolist(), windows[~whole].tolist()):
-                        for i in range(s, s + n):
-                            key = hashlib.blake2b(bodies[o][i : i + WINDOW], digest_size=16).digest()
-                            extra.append((o, int.from_bytes(key[:4], "little") % buckets, i, 1, ALONE, 0, key))
-                    rows = [np.concatenate([a, np.array(b, np.int64)]) for a, b in zip(rows[:6], list(zip(*extra))[:6])] + [cut + [x[6] for x in extra]]
-                doc, row = (part.column(c).take(pa.array(rows[0])) for c in (0, 1))
-                types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-                bucket_, start_, windows_, kind_, hash_, body_ = (pa.array(c, t) if t == pa.binary() else pa.array(np.asarray(c), pa.int64()).cast(t) for c, t in zip(rows[1:], types))
-                yield pa.RecordBatch.from_arrays([bucket_, doc, row, start_, windows_, kind_, hash_, body_], names=names)
+        sent: set[tuple] = set()
+        for part in (part for batch in batches for part in slices(batch)):
+            edge, (start, windows, kind, h, content) = lists_of(part.column(3), "start", "windows", "kind", "hash", "content")
+            owner = np.repeat(np.arange(part.num_rows), np.diff(edge))
+            bodies, docs_, rows_ = (part.column(c).to_pylist() for c in (2, 0, 1))
+            bucket = (h.view(np.uint64) >> np.uint64(40)).astype(np.int64) % buckets
+            if len(sent) > SENT:
+                sent.clear()
+            out: list[tuple] = []
+            for b, o, s, n, k, x, c in zip(*(v.tolist() for v in (bucket, owner, start, windows, kind, h, content))):
+                if k == COMPARE:
+                    out.append((b, docs_[o], rows_[o], s, n, k, x, c, bodies[o][s : s + n + WINDOW - 1]))
+                elif k == ALONE:
+                    for i in range(s, s + n):
+                        key = digest(bodies[o][i : i + WINDOW])
+                        out.append((int.from_bytes(key[:4], "little") % buckets, docs_[o], rows_[o], i, 1, k, 0, 0, key))
+                elif (told := (x, c, digest(bodies[o][s : s + n + WINDOW - 1]))) not in sent:
+                    sent.add(told)
+                    out.append((b, 0, 0, 0, 0, FIRST, *told))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if rows is None or not rows.num_rows:
             return
         kind = rows["kind"].to_numpy()
+        told = rows.filter(pa.array(kind == FIRST))
+        if told.num_rows:
+            x, c, key = told["hash"].to_numpy(), told["content"].to_numpy(), digests_of(told)
+            by = np.lexsort((c, x))
+            torn = (x[by][1:] == x[by][:-1]) & (c[by][1:] == c[by][:-1]) & (key[by][1:] != key[by][:-1]).any(axis=1)
+            torn = np.unique(x[by][1:][torn])
+            yield pa.RecordBatch.from_arrays([pa.array(torn), *[pa.array(np.zeros(len(torn), np.int32))] * 2], names=["row", "start", "windows"])
         alone = rows.filter(pa.array(kind == ALONE))
         if alone.num_rows:
-            key = np.array(alone["body"].to_pylist(), dtype="V16").view("<u8").reshape(-1, 2)
+            key = digests_of(alone)
             d, r, s = (alone[c].to_numpy() for c in ("doc", "row", "start"))
             by = np.lexsort((s, r, d, key[:, 0], key[:, 1]))
             later = np.append(False, (key[by][1:] == key[by][:-1]).all(axis=1))
@@ -382,8 +410,14 @@ def compared(docs: DataFrame, found: DataFrame, buckets: int, folder: str) -> Da
             yield spans_of(*compare_runs(part["doc"].to_numpy(), part["row"].to_numpy(), part["start"].to_numpy().astype(np.int64), part["windows"].to_numpy(), part["body"].to_pylist()))
             lo = hi
 
-    pieces = arrow_map(cut, fetch, schema).repartition(buckets, "bucket").select("doc", "row", "start", "windows", "kind", "hash", "body")
-    return keep(arrow_map(pieces, compare, SPAN), folder, "compared")
+    pieces = arrow_map(cut, fetch, schema).repartition(buckets, "bucket").drop("bucket")
+    out = keep(arrow_map(pieces, compare, SPAN), folder, name)
+    discard(docs.sparkSession, folder, f"wanted_{name}", f"bloom_{name}")
+    return out
+
+
+def digests_of(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["body"].to_pylist()), "<u8").reshape(-1, 2)
 
 
 def numbered(docs: DataFrame, name: str, folder: str) -> DataFrame:
@@ -402,9 +436,15 @@ def removed(docs: DataFrame, name: str, folder: str, buckets: int | None, hot: i
     doc = F.col("doc_id").cast("long")
     docs = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(-(1 << 63))).alias("doc"), F.col(name).alias("row"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     found = keep(meet_runs(find_runs(docs.drop("doc_id"), buckets), buckets, hot), folder, "found")
-    spans = found.filter(F.col("kind") == REPEAT).select("row", "start", "windows").unionByName(compared(docs, found, buckets, folder))
+    spans = compared(docs, found, buckets, folder, "compared")
+    torn = spans.filter("windows = 0").select(F.col("row").alias("hash"))
+    repeats = found.filter(F.col("kind") == REPEAT)
+    if not torn.isEmpty():  # one by one, whatever their fingerprints say
+        apart = found.join(torn, "hash", "left_semi").select("doc", "row", "start", "windows", F.lit(ALONE).alias("kind"), "hash", F.lit(0).cast("long").alias("content")).distinct()
+        spans, repeats = spans.unionByName(compared(docs, apart, buckets, folder, "apart")), repeats.join(torn, "hash", "left_anti")
+    spans = spans.filter("windows > 0").unionByName(repeats.select("row", "start", "windows"))
     spans = keep(spans.groupBy("row").agg(F.collect_list(F.struct("start", "windows")).alias("spans")), folder, "spans")
-    discard(docs.sparkSession, folder, "found", "compared", "wanted", "bloom_wanted")
+    discard(docs.sparkSession, folder, "found", "compared", "apart")
     return docs, spans
 
 
