@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Bloom, free_name, keep, located, row_key, shared_folder
 
 #: The most bytes of a level; longer lists go in more shards.
-MOST_BYTES = 16 << 20
+MOST_BYTES = 8 << 20
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
