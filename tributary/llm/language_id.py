@@ -9,7 +9,8 @@ distinct word is scored once per task and kept in a bounded table.
 
 The language with the lowest cross-entropy per letter wins (ties: the first by name).  A text is rejected when its
 cross-entropy lies above the limit of that language: the quantile QUANTILE of a held-back part of its sample, plus SLACK nats, so
-that clean texts pass; a language without held-back rows rejects none.  Null texts and texts without letters get ``und``, score 0, and are rejected.
+that clean texts pass; a language without held-back rows rejects none.  Rows that models of the held-back part alone would
+reject in the same way are not learned from, so labelled junk does not pass for its label.  Null texts and texts without letters get ``und``, score 0, and are rejected.
 ``score`` is the softmax over languages of minus the cross-entropy per letter, sharpened by SHARP.
 
 Rows with null lang are not learned from, nor is a label without any letters in its sample; with no labelled rows at all every text gets ``und``.  lang, source and
@@ -29,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, shared_folder
+from .common import arrow_map, discard, keep, release, shared_folder
 
 ORDER, DISCOUNT = 5, 0.75
 #: Rows of each language that a model is fitted on, at most (in expectation: a hash sample).
 SAMPLE_ROWS = 1500
 #: Every CALIBRATE-th of them only calibrates the limit.
 CALIBRATE = 8
-QUANTILE, SLACK, SHARP = 0.99, 1.0, 8.0
+QUANTILE, SLACK, SHARP = 0.9, 1.25, 8.0
 #: Distinct words whose scores are kept per task, and the longest that is kept or counted in one piece.
 TABLE, LONGEST = 200_000, 40
 START, STOP = "\x01", "\x02"
@@ -242,26 +243,51 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Models:
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, rows / n))])
     dice = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
     sample = known.filter(dice < share[F.col("lang")]).select("lang", "text", (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(8)), F.lit(CALIBRATE)) == 0).alias("tune"))
-    words = sample.filter("not tune").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("w"))
+    folder = shared_folder(docs.sparkSession)
+    sample = keep(sample, folder, "sample")
+    tune, train = sample.filter("tune"), sample.filter("not tune")
+    odd = own_entropies(train, learn(tune))  # by models that have not seen these rows
+    bounds = limits(odd)
+    if bounds:
+        bound = F.create_map(*[F.lit(x) for item in bounds.items() for x in item])[F.col("lang")]
+        train = odd.filter(F.col("h").isNull() | bound.isNull() | (F.col("h") <= bound))
+    models = learn(train)
+    for lang, limit in limits(own_entropies(tune, models)).items():
+        models.limits[models.langs.index(lang)] = limit
+    discard(docs.sparkSession, folder, "sample")
+    return models
+
+
+def learn(sample: DataFrame) -> Models:
+    """Models of all rows of ``sample`` (lang, text)."""
+    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("w"))
     words = words.filter("w != ''").groupBy("lang", "w").agg(F.count("*").alias("n"))
     counts: dict[str, Counter] = {}
     for r in words.select("lang", F.explode(marked(F.col("w"))).alias("w"), "n").groupBy("lang", "w").agg(F.sum("n").alias("n")).toLocalIterator():
         counts.setdefault(r["lang"], Counter())[r["w"]] = r["n"]
     models = Models(sorted(counts), counts)
-    if not counts:
-        return models
+    counts.clear()
+    release()  # what the counts took of the driver
+    return models
+
+
+def own_entropies(sample: DataFrame, models: Models) -> DataFrame:
+    """``sample`` (lang, text) with h: the cross-entropy of a text in its own language; null where the models lack the language or the text has no letters."""
+    column = {k: i for i, k in enumerate(models.langs)}
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, column = Scorer(models), {k: i for i, k in enumerate(models.langs)}
+        scorer = Scorer(models)
         for batch in batches:
-            langs = batch.column(0).to_pylist()
+            at = [column.get(k) for k in batch.column(0).to_pylist()]
             h = scorer.entropies(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_pydict({"lang": langs, "h": [None if math.isnan(x := h[i, column[k]]) else float(x) for i, k in enumerate(langs)]}, pa.schema([("lang", pa.string()), ("h", pa.float64())]))
+            values = [None if c is None or math.isnan(h[i, c]) else float(h[i, c]) for i, c in enumerate(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=["lang", "text", "h"])
 
-    held_back = arrow_map(sample.filter(F.col("tune") & F.col("lang").isin(models.langs)).select("lang", "text"), own, "lang string, h double").filter("h IS NOT NULL")
-    for r in held_back.groupBy("lang").agg(F.percentile("h", F.lit(QUANTILE)).alias("h")).collect():  # a row per language
-        models.limits[models.langs.index(r["lang"])] = r["h"] + SLACK
-    return models
+    return arrow_map(sample.select("lang", "text"), own, "lang string, text string, h double")
+
+
+def limits(scored: DataFrame) -> dict[str, float]:
+    return {r["lang"]: r["h"] + SLACK for r in scored.filter("h IS NOT NULL").groupBy("lang").agg(F.percentile("h", F.lit(QUANTILE)).alias("h")).collect()}  # a row per language
 
 
 def predict(docs: DataFrame, models: Models) -> DataFrame:
