@@ -76,7 +76,8 @@ def dedup(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFr
     whole = marked.filter(~F.col(flag)).drop(place, flag).withColumns({"text": text_of(F.col("text")), "n_lines": n.cast("long"), "n_dropped": F.lit(0).cast("long")})
     # split before the join, so that what uses the lines again and again reads a column
     some = marked.filter(flag).drop(flag).withColumn("text", F.split(text_of(F.col("text")), "\n"))
-    some = some.join(gone.select(F.col("at").alias(place), F.col("gone").alias(cut)), place, "left").drop(place)
+    # what is lost grows with the table: the join shuffles at every size, instead of a broadcast of up to its limit
+    some = some.join(gone.select(F.col("at").alias(place), F.col("gone").alias(cut)).hint("merge"), place, "left").drop(place)
     rest = F.when(F.col(cut).isNull(), F.col("text")).otherwise(without(F.col("text"), F.col(cut)))
     some = some.withColumns({"n_lines": F.size("text").cast("long"), "n_dropped": F.coalesce(F.size(cut), F.lit(0)).cast("long"), "text": F.array_join(rest, "\n")}).drop(cut)
     return whole.unionByName(some)
