@@ -69,7 +69,7 @@ def test_few_rows(spark):
 
 def test_ranges_let_every_fitting_coordinate_pass_and_prune():
     rng = np.random.default_rng(3)
-    v = np.array([r[1] for r in table(2000)])
+    v = hn.unit(np.array([r[1] for r in table(2000)])) * rng.uniform(0.95, 1, 2000)[:, None]  # one bucket: lengths are alike
     v = np.floor(256 * v).astype(np.int64)
     order = np.argsort(hn.unit(v), axis=0, kind="stable").T.astype(np.int32)
     block = hn.Block({"number": np.arange(2000).tobytes(), "vec_id": np.arange(2000).tobytes(), "label": np.zeros(2000, np.int64).tobytes(), "v": v.tobytes(), "wide": True, "sorted": np.ascontiguousarray(order).tobytes(), "longest": float(np.sqrt((v**2).sum(axis=1)).max())}, 12)
