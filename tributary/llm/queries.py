@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_coding import op9_bpe
+from .collocations import OP12_SQL, op12_collocations
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .html_extract import op5_html_text
@@ -17,7 +18,7 @@ from .warc import op2_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filter, op2_warc, op3_language_id, op4_packing, op5_html_text, op6_jaccard_join, op7_exact_dedup, op8_multi_index, op9_bpe, op10_suffix_dedup, op11_hard_negatives, op13_line_dedup)
+    for f in (op1_url_filter, op2_warc, op3_language_id, op4_packing, op5_html_text, op6_jaccard_join, op7_exact_dedup, op8_multi_index, op9_bpe, op10_suffix_dedup, op11_hard_negatives, op12_collocations, op13_line_dedup)
 }
 
-ORACLE = {"op1_url_filter": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_line_dedup": OP13_SQL}
+ORACLE = {"op1_url_filter": OP1_SQL, "op7_exact_dedup": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_collocations": OP12_SQL, "op13_line_dedup": OP13_SQL}
