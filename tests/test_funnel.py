@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary import registry
-from tributary.operators import analyses, conversation, dashboard, quality, retrieval, silver, watchdog
+from tributary.operators import analyses, conversation, dashboard, ordered, quality, retrieval, silver, watchdog
+from tributary.scratch import shared_folder
 from tributary.sources import load
 from tributary.sources.binding import Tables
 
@@ -82,9 +83,24 @@ def test_chunks_split_at_headings_and_pack_paragraphs(spark):
 
 
 def test_referential(spark):
-    rows = [("what about the şu campaign in all of these places",), ("one two three four five",), ("one two three four five six",), ("iterate over every single market and channel",)]
-    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(conversation.referential(F.col("t"))).collect()]
-    assert got == [True, True, False, False]
+    yes = ["What about that channel in the other of the two markets", "Show IT as a chart of all markets and weeks", "Şunu cihaza göre bütün pazarlar için kırar mısın", "Şimdi de app tarafını bütün pazarlar için göster", "one two three four five", "And by device?"]
+    no = ["", "   ", "one two three four five six", "iterate over every single market and channel", "Please export the raw notebook analysis workbook file for review", "Compare hearing aid pairing rate by acquisition channel across markets"]
+    got = {r.t: r.f for r in spark.createDataFrame([(x,) for x in yes + no], "t string").select("t", conversation.referential(F.col("t")).alias("f")).collect()}
+    assert got == dict.fromkeys(yes, True) | dict.fromkeys(no, False)
+
+
+def test_hot_keys_span_slices(spark):
+    """The same rows in one slice and in many; one key has most of them."""
+    rows = [("hot" if i % 3 else f"c{i % 7}", i, "assistant" if i % 5 == 2 or i % 11 == 3 else "user", f"what is number {i} of this all" if i % 4 else "it") for i in range(300)]
+    turns = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    whole, cut = (order(conversation.context(turns, slice_rows=n)) for n in (10_000, 9))
+    assert whole == cut and max(len(r[3] or []) for r in whole) == 5
+    rows = [("hot" if i % 3 else f"k{i % 20}", T0 + timedelta(minutes=i * (1 if i % 50 else 200))) for i in range(400)]
+    events = spark.createDataFrame(rows, "k string, ts timestamp_ntz")
+    assert order(conversation.sessions(events, "k", "ts", slice_rows=10_000)) == order(conversation.sessions(events, "k", "ts", slice_rows=7))
+    spread = ordered.slices(events, ["k", "ts"], shared_folder(spark), "hot", 40)
+    assert spread.filter("k = 'hot'").select("slice").distinct().count() > 5 and spread.groupBy("slice").count().agg(F.max("count")).first()[0] < 100
 
 
 READS = (
