@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"))
+from tributary.operators.search_index import UNIT, impact, tokens, whole_text
+from tributary.scratch import keep, shared_folder
 
 
 def chunks(docs: DataFrame, budget: int = 300, paragraph: str = r"\n\s*\n") -> DataFrame:
@@ -35,55 +36,73 @@ def chunks(docs: DataFrame, budget: int = 300, paragraph: str = r"\n\s*\n") -> D
 
 
 def bm25(docs: DataFrame, query: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """doc_id, score, rank: top k; a repeated query word counts again; only scores above 0.  docs: doc_id, text."""
-    words = tokens(F.coalesce("text", F.lit("")))
+    """doc_id, score, rank: top k of one question; a repeated query word counts again; only scores above 0.  docs: doc_id, text and maybe heading.
+
+    Ranked by the score in units of 10^-12, ties to the smaller doc_id.  For many questions see search_index.
+    """
     spark = docs.sparkSession
     asked = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("w")).groupBy("w").agg(F.count("*").alias("qn"))
-    base = docs.select("doc_id", words.alias("ws"))
+    base = docs.select("doc_id", tokens(whole_text(docs)).alias("ws"))
     stats = base.agg(F.count("*").alias("n"), F.avg(F.size("ws")).alias("avgdl"))
     wanted = F.array_distinct(tokens(F.lit(query)))
     hits = base.select("doc_id", F.size("ws").alias("dl"), F.explode(F.filter("ws", lambda w: F.array_contains(wanted, w))).alias("w")).groupBy("doc_id", "dl", "w").agg(F.count("*").alias("tf"))
     df = hits.groupBy("w").agg(F.count("*").alias("df"))
     scored = hits.join(F.broadcast(df.join(asked, "w").crossJoin(stats)), "w")  # a row per query word
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qn") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    out = scored.groupBy("doc_id").agg(F.round(F.sum(part), 4).alias("score")).filter("score > 0")
-    top = out.orderBy(F.desc("score"), "doc_id").limit(k)
-    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")))
+    part = F.col("qn") * impact(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl"), k1, b)
+    out = scored.groupBy("doc_id").agg(F.sum(part).alias("units")).filter("units > 0")
+    top = out.orderBy(F.desc("units"), "doc_id").limit(k)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("units"), "doc_id"))).select("doc_id", F.round(F.col("units") / UNIT, 4).alias("score"), "rank")
 
 
-#: Queries, and vectors, that meet in one task.
-QUERIES, ROWS = 1024, 8192
+#: Bytes of the queries that are sent to all tasks at once, and rows of one product.
+QUERY_BYTES, ROWS = 8 << 20, 4096
+NEAR = "query long, query_id long, vec_id long, units long"
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, vec_id, score, rank: the k nearest of all vectors for each query; a zero norm gives 0, ties go to the smaller vec_id.
 
-    vectors and queries: vec_id, embedding (null ones take no part).  Both are dealt in blocks, and each pair of blocks is one matrix product.
+    vectors and queries: vec_id, embedding (null ones, and those of another length than most queries, take no part).  Queries come in rounds of bounded bytes, sent to all
+    tasks; vectors are read where they lie and never shuffled: a task hands on its k best of each query.  Ranked by the cosine to 12 decimals.
     """
-    blocks = lambda df, n: max(1, -(-df.count() // n))
-    vectors, queries = (df.filter("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")) for df in (vectors, queries))
-    d = queries.agg(F.mode(F.size("v"))).scalar()  # vectors of another length take no part
-    vectors, queries = vectors.filter(F.size("v") == d), queries.filter(F.size("v") == d)
-    nv, nq = blocks(vectors, ROWS), blocks(queries, QUERIES)
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("q", own(nq)).withColumn("b", every(nv)).groupBy("q", "b")
-    right = vectors.withColumn("b", own(nv)).withColumn("q", every(nq)).groupBy("q", "b")
-
-    def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(rows):
-            unit = lambda m: m / np.maximum(np.sqrt((m**2).sum(axis=1)), 1e-300)[:, None]
-            ids, scores = rows["vec_id"].to_numpy(), np.round(unit(np.stack(asked["v"].to_numpy())) @ unit(np.stack(rows["v"].to_numpy())).T, 6)
-            for q, own in zip(asked["vec_id"], scores):
-                best = np.lexsort((ids, -own))[:k]
-                out += zip([q] * len(best), ids[best].tolist(), own[best].tolist())
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    near = left.cogroup(right).applyInPandas(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k)
+    spark, folder = vectors.sparkSession, shared_folder(vectors.sparkSession)
+    usable = lambda df: df.filter("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    asked = usable(queries)
+    d = asked.agg(F.mode(F.size("v"))).scalar()
+    asked = keep(asked.filter(F.size("v") == d).withColumn("query", F.monotonically_increasing_id()), folder, "queries")
+    rows = usable(vectors).filter(F.size("v") == d)
+    unit = lambda m: m / np.maximum(np.sqrt((m**2).sum(axis=1)), 1e-300)[:, None]
+    one = asked.select(F.size("v")).first()
+    rounds = max(1, -(-asked.count() * (8 * one[0] + 64) // query_bytes)) if one else 0
+    rank = F.row_number().over(W.partitionBy("query", "query_id").orderBy(F.desc("units"), "vec_id"))
+    paths = []
+    for i in range(rounds):
+        some = asked.filter(F.pmod(F.xxhash64("query"), F.lit(rounds)) == i).collect()  # of bounded size, whatever the table's
+        if not some:
+            continue
+        sent = spark.sparkContext.broadcast((np.array([r["query"] for r in some]), np.array([r["vec_id"] for r in some]), unit(np.array([r["v"] for r in some]))))
+
+        def meet(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            number, query_id, q = sent.value
+            best = np.zeros((3, 0), np.int64)  # place of the query, units, vec_id
+            for frame in frames:
+                for lo in range(0, len(frame), ROWS):
+                    part = frame.iloc[lo : lo + ROWS]
+                    units = np.rint(q @ unit(np.stack(part["v"].to_numpy())).T * UNIT).astype(np.int64)
+                    least = np.partition(units, -k, axis=1)[:, -k] if units.shape[1] > k else np.full(len(q), np.iinfo(np.int64).min)
+                    at, row = np.nonzero(units >= least[:, None])
+                    best = np.concatenate([best, [at, units[at, row], part["vec_id"].to_numpy()[row]]], axis=1)
+                    best = best[:, np.lexsort((best[2], -best[1], best[0]))]
+                    start = np.flatnonzero(np.append(True, best[0][1:] != best[0][:-1]))
+                    best = best[:, np.arange(best.shape[1]) - np.repeat(start, np.diff(np.append(start, best.shape[1]))) < k]
+            yield pd.DataFrame({"query": number[best[0]], "query_id": query_id[best[0]], "vec_id": best[2], "units": best[1]})
+
+        near = rows.mapInPandas(meet, NEAR).withColumn("rank", rank).filter(F.col("rank") <= k)
+        keep(near, folder, f"near{i}")
+        sent.unpersist()
+        paths.append(f"{folder}/near{i}")
+    near = spark.read.parquet(*paths) if paths else spark.createDataFrame([], NEAR + ", rank int")
+    return near.select("query_id", "vec_id", F.round(F.col("units") / UNIT, 6).alias("score"), "rank")
 
 
 def to_embed(chunked: DataFrame, cache: DataFrame) -> DataFrame:
