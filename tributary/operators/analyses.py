@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .gold import n, ratio
+from .intervals import with_a_point
 from .silver import days
 
 
@@ -117,7 +118,7 @@ def recovered_after_support(app: DataFrame, support: DataFrame, window: int = 14
     """Devices whose window after the first support event has closed, and those that opened the app again within it."""
     first = support.groupBy("hashed_device_id").agg(F.min("event_timestamp").alias("helped_ts"))
     first = first.withColumn("horizon", app.agg(F.max("event_timestamp")).scalar()).filter(F.col("helped_ts") + days(window) <= F.col("horizon"))
-    opens = app.filter("event_name = 'app_open'").select(F.col("hashed_device_id").alias("d"), "event_timestamp")
-    after: Column = (F.col("event_timestamp") > F.col("helped_ts")) & (F.col("event_timestamp") <= F.col("helped_ts") + days(window))
-    back = first.join(opens, (F.col("hashed_device_id") == F.col("d")) & after, "left_semi").agg(F.count("*").alias("recovered_devices"))
+    windows = first.select("hashed_device_id", "helped_ts", (F.col("helped_ts") + days(window)).alias("closed_ts"))
+    opens = app.filter("event_name = 'app_open'")
+    back = with_a_point(windows, opens, "hashed_device_id", "event_timestamp", "helped_ts", "closed_ts", window, open_start=True, closed_end=True).agg(F.count("*").alias("recovered_devices"))
     return first.agg(F.count("*").alias("support_devices")).crossJoin(back).withColumn("recovered_share", ratio("recovered_devices", "support_devices"))

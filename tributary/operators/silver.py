@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.operators.intervals import with_a_point
+
 #: Campaign names and the channels they belong to.
 CHANNELS = {"summer_hearing_meta": "paid_social_meta", "tiktok_awareness": "paid_social_tiktok", "brand_search": "paid_search_brand", "retargeting_meta": "retargeting_meta"}
 DIRECT, NO_CAMPAIGN = "organic_direct", "organic/none"
@@ -46,16 +48,16 @@ def web_user_stages(web: DataFrame) -> DataFrame:
 def app_user_stages(app: DataFrame, retention: Retention = Retention()) -> DataFrame:
     """One row per device with an open: platform, first open, first pairing, activity in the window, censoring.
 
-    Both aggregations combine before they shuffle and the join between them may be split, so a device with very many events is no bottleneck.
+    Both aggregations combine before they shuffle, and opens meet their device's window by bins of time, so a device with very many events is no bottleneck.
     """
     opened, paired = F.col("event_name") == "app_open", F.col("event_name") == "hearing_aid_paired"
     one = app.groupBy("hashed_device_id").agg(
         F.min("platform").alias("platform"), F.min(F.when(opened, F.col("event_timestamp"))).alias("first_open_ts"), F.min(F.when(paired, F.col("event_timestamp"))).alias("paired_ts")
     )
     one = one.filter("first_open_ts IS NOT NULL")
-    start, t = F.col("first_open_ts"), F.col("event_timestamp")
-    again = app.filter(opened).join(one.select("hashed_device_id", "first_open_ts"), "hashed_device_id")
-    again = again.filter((t >= start + days(retention.lo)) & (t < start + days(retention.hi))).select("hashed_device_id", F.lit(True).alias("back")).distinct()
+    start = F.col("first_open_ts")
+    windows = one.select("hashed_device_id", (start + days(retention.lo)).alias("from_ts"), (start + days(retention.hi)).alias("to_ts"))
+    again = with_a_point(windows, app.filter(opened), "hashed_device_id", "event_timestamp", "from_ts", "to_ts", max(1, retention.hi - retention.lo)).withColumn("back", F.lit(True))
     out = one.join(again, "hashed_device_id", "left").withColumn("horizon", app.agg(F.max("event_timestamp")).scalar())
     return out.select("hashed_device_id", "platform", "first_open_ts", "paired_ts", F.coalesce("back", F.lit(False)).alias("d30_active"), (start > F.col("horizon") - days(retention.censor)).alias("censored"))
 
