@@ -5,7 +5,8 @@ scripts, styles and controls give none.  All lines, those of an <article> or <ma
 page's nearest neighbour: pages are ranked by host and path over the whole table, a run of pages of one host with
 the same lines stands as one page, the neighbour is the page just before or after of the same host, whichever shares the
 longer start of the path (ties: before), the two pages' lines are aligned by a longest common subsequence of line
-hashes, and shared lines are deleted.  A neighbour that is a near copy deletes nothing, for two copies would delete each other:
+hashes, and shared lines are deleted.  Inside an article a line is aligned together with the path of elements it stands in, and goes only if the pages on both sides
+share it at such a place: a sentence that one other article has too is text.  A line that is the page's own title never goes.  A neighbour that is a near copy deletes nothing, for two copies would delete each other:
 then the page on the other side is taken, and if that is a near copy too, or there is none, the page loses no line.
 Near copies: of the lines that may be text by their markup, shared ones at the very start and end count as header and footer
 (a quarter of these lines at each end, and one at least); of either page's other characters half or more are shared.
@@ -38,8 +39,8 @@ from .common import arrow_map, discard, keep, probably_in, shared_folder
 from .url_filter import host_of, path_of
 
 BLOCK = 256
-#: Of the number that stands for a line: bit 0 tells whether the line may be text by its markup, LENGTH its length, the rest is a hash.
-LENGTH = (1 << 12) - 1
+#: Of the number that stands for a line: whether the line may be text by its markup, is in an article, is the page's title; the rest is a hash.
+FINE, INSIDE, TITLE, BITS = 1, 2, 4, 3
 # Elements of HTML.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -78,17 +79,29 @@ PLAIN, ARTICLE, UNWANTED, NO_TEXT = range(4)
 
 def page_lines(source: str) -> tuple[list[str], list[int]]:
     """Lines of a page in order, and what each stands in: PLAIN, ARTICLE or UNWANTED markup."""
+    return page_parts(source)[:2]
+
+
+def reduced(text: str) -> str:
+    return SPACE.sub(" ", entities.unescape(text)).strip()
+
+
+def page_parts(source: str) -> tuple[list[str], list[int], list[str], str]:
+    """Lines, kinds, the path of elements of each line, and the page's title (empty if none)."""
     lines: list[str] = []
     kinds: list[int] = []
+    paths: list[str] = []
+    title = ""
     now: list[str] = []
     stack: list[tuple[str, int]] = [("", PLAIN)]
 
     def flush() -> None:
-        text = SPACE.sub(" ", entities.unescape("".join(now))).strip()
+        text = reduced("".join(now))
         now.clear()
         if text:
             lines.append(text)
             kinds.append(stack[-1][1])
+            paths.append("/".join(t for t, _ in stack if t not in INLINE))
 
     at, n = 0, len(source)
     while at < n:
@@ -133,10 +146,12 @@ def page_lines(source: str) -> tuple[list[str], list[int]]:
                 break
             if inner != NO_TEXT:
                 now.append(source[at : close.start()])
+            if tag == "title" and not title:
+                title = reduced(source[at : close.start()])
             at = close.end()
             stack.pop()
     flush()
-    return lines, kinds
+    return lines, kinds, paths, title
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
@@ -212,25 +227,31 @@ def prefix_lengths(x: list[int], y: list[int]) -> np.ndarray:
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, body (the lines that may be text by their markup, packed), lines (a number for each line of the page, see LENGTH)."""
-    schema = "page_id long, url string, body binary, lines array<long>"
+    """page_id, url, body (the lines that may be text by their markup, packed), lines (a number for each line of the page, see FINE) and sizes (their lengths)."""
+    schema = "page_id long, url string, body binary, lines array<long>, sizes array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, numbers = [], []
+            texts, numbers, sizes = [], [], []
             for source in batch.column(2).to_pylist():
-                lines, kinds = page_lines(source or "")
+                lines, kinds, paths, title = page_parts(source or "")
                 wanted = ARTICLE if ARTICLE in kinds else PLAIN
                 texts.append(zlib.compress("\n".join([s for s, k in zip(lines, kinds) if k == wanted]).encode("utf-8", "surrogatepass"), 6))  # a line holds no line break
-                numbers.append([line_number(s, k == wanted) for s, k in zip(lines, kinds)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.array(numbers, pa.list_(pa.int64()))], names=["page_id", "url", "body", "lines"])
+                numbers.append([line_number(s, k == wanted, k == ARTICLE, s == title, p) for s, k, p in zip(lines, kinds, paths)])
+                sizes.append(list(map(len, lines)))
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.array(numbers, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "body", "lines", "sizes"])
 
     return arrow_map(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), run, schema)
 
 
-def line_number(line: str, fine: bool) -> int:
-    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) >> 13
-    return (h << 13 | min(len(line), LENGTH) << 1 | fine) - (1 << 63)
+def line_number(line: str, fine: bool, inside: bool, title: bool, path: str) -> int:
+    h = xxhash.xxh64_intdigest((f"{path}\n{line}" if inside else line).encode("utf-8", "surrogatepass")) >> BITS
+    return (h << BITS | FINE * fine | INSIDE * inside | TITLE * title) - (1 << 63)
+
+
+def flag(numbers: np.ndarray, bit: int) -> np.ndarray:
+    return (numbers & bit).astype(bool)
 
 
 def shared_start(a: str, b: str) -> int:
@@ -250,19 +271,22 @@ def mark_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             heads.append(head)
             nears.append(shared_start(path, last[1]) if head and last and host == last[0] else -1)
             last = host, path, digest
-        lines = batch.column("lines")
-        lines = lines.take(pa.array([i if h else None for i, h in enumerate(heads)], pa.int64()))
+        first = pa.array([i if h else None for i, h in enumerate(heads)], pa.int64())
+        lines, sizes = (batch.column(c).take(first) for c in ("lines", "sizes"))
         columns = [batch.column(c) for c in ("part", "i", "row", "host", "path", "digest")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes, pa.int64()), pa.array(heads, pa.bool_()), pa.array(nears, pa.int32()), lines], names=[c.split()[0] for c in PLACED.split(", ")])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(nodes, pa.int64()), pa.array(heads, pa.bool_()), pa.array(nears, pa.int32()), lines, sizes], names=[c.split()[0] for c in PLACED.split(", ")])
+
+
+PLACED = "part int, i long, row long, host string, path string, digest long, node long, head boolean, near int, lines array<long>, sizes array<int>"
 
 
-PLACED = "part int, i long, row long, host string, path string, digest long, node long, head boolean, near int, lines array<long>"
+Lines = tuple[np.ndarray, np.ndarray]  # numbers and sizes
 
 
-def mostly_shared(numbers: np.ndarray, gone: np.ndarray) -> bool:
+def mostly_shared(page: Lines, gone: np.ndarray) -> bool:
     """Whether half or more of a page's text, beyond its header and footer, is shared."""
-    fine = (numbers & 1).astype(bool)
-    length, shared = ((numbers >> 1) & LENGTH)[fine], gone[fine]
+    fine = flag(page[0], FINE)
+    length, shared = page[1][fine], gone[fine]
     edge = max(1, len(shared) // 4)
     top = int(np.append(shared, False).argmin())  # shared lines that lead
     end = int(np.append(shared[top:][::-1], False).argmin())
@@ -270,9 +294,9 @@ def mostly_shared(numbers: np.ndarray, gone: np.ndarray) -> bool:
     return len(shared) > 0 and 2 * int(length[inner][shared[inner]].sum()) >= int(length[inner].sum())
 
 
-def compare_pair(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+def compare_pair(a: Lines, b: Lines) -> tuple[np.ndarray, np.ndarray] | None:
     """Which lines of either page the other has; None for near copies."""
-    x, y = (a >> 1).tolist(), (b >> 1).tolist()
+    x, y = (a[0] >> BITS).tolist(), (b[0] >> BITS).tolist()
     gone_a, gone_b = np.zeros(len(x), bool), np.zeros(len(y), bool)
     gone_a[common_lines(x, y)] = True
     gone_b[common_lines(y, x)] = True
@@ -280,24 +304,28 @@ def compare_pair(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def compare_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Places, among the lines that may be text, of those that each page of the block (without its margin) shares with its nearest neighbour."""
+    """Places, among the lines that may be text, of those that each page of the block (without its margin) loses to its neighbours."""
     rows = rows.sort_values("rank")
     block = int(rows["block"].iloc[0])
-    rank, near, lines = rows["rank"].tolist(), rows["near"].tolist(), [np.asarray(x, np.int64) for x in rows["lines"]]
+    rank, near = rows["rank"].tolist(), rows["near"].tolist()
+    pages: list[Lines] = [(np.asarray(x, np.int64), np.asarray(n, np.int64)) for x, n in zip(rows["lines"], rows["sizes"])]
     pairs: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}
     out = []
-    for i, numbers in enumerate(lines):
-        fine = (numbers & 1).astype(bool)
+    for i, (numbers, _) in enumerate(pages):
+        fine = flag(numbers, FINE)
         if rank[i] // BLOCK != block or not fine.any():
             continue
-        sides = [(near[k], k < i + 1, k) for k in (i, i + 1) if 0 < k < len(lines) and rank[k] == rank[k - 1] + 1 and near[k] >= 0]  # k: a pair's second page
-        for _, before, k in sorted(sides, reverse=True):
+        sides = [(near[k], k < i + 1, k) for k in (i, i + 1) if 0 < k < len(pages) and rank[k] == rank[k - 1] + 1 and near[k] >= 0]  # k: a pair's second page
+        for _, _, k in sides:
             if k not in pairs:
-                pairs[k] = compare_pair(lines[k - 1], lines[k])
-            if pairs[k] is not None:
-                if (gone := np.flatnonzero(pairs[k][before][fine]).tolist()):
-                    out.append((rank[i], gone))
-                break
+                pairs[k] = compare_pair(pages[k - 1], pages[k])
+        shared = [pairs[k][before] for _, before, k in sorted(sides, reverse=True) if pairs[k] is not None]  # the nearest that is no near copy first
+        if not shared:
+            continue
+        everywhere = shared[0] & shared[1] if len(shared) == 2 else np.zeros(len(numbers), bool)
+        lost = np.where(flag(numbers, INSIDE), everywhere, shared[0]) & ~flag(numbers, TITLE)
+        if (gone := np.flatnonzero(lost[fine]).tolist()):
+            out.append((rank[i], gone))
     return pd.DataFrame({"rank": pd.Series([r for r, _ in out], dtype="int64"), "gone": pd.Series([g for _, g in out], dtype="object")})
 
 
@@ -305,7 +333,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (its lines joined by one space) and n_chars of each page."""
     spark, folder = pages.sparkSession, shared_folder(pages.sparkSession)
     lined = keep(read_pages(pages).withColumn("row", F.monotonically_increasing_id()), folder, "lines")
-    keys = lined.select("row", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64("lines").alias("digest"), "lines")
+    keys = lined.select("row", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64("lines").alias("digest"), "lines", "sizes")
     order = keys.repartitionByRange("host", "path", "page_id", "row").sortWithinPartitions("host", "path", "page_id", "row")
     order = order.withColumns({"part": F.spark_partition_id(), "i": F.expr("monotonically_increasing_id() & ((1L << 33) - 1)")})
     placed = keep(arrow_map(order, mark_runs, PLACED), folder, "placed")
@@ -322,7 +350,7 @@ def extract(pages: DataFrame) -> DataFrame:
         by_part = lambda values: F.create_map(*[F.lit(x) for item in values.items() for x in item])[F.col("part")]
         placed = placed.withColumns({"rank": F.col("node") + by_part(start).cast("long"), "near": F.when(F.col("i") == 0, by_part(joined)).otherwise(F.col("near"))})
         blocks = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor((F.col("rank") + d) / BLOCK)))
-        ranked = placed.filter("head and near >= -1").withColumn("block", F.explode(blocks)).select("block", "rank", "near", "lines")
+        ranked = placed.filter("head and near >= -1").withColumn("block", F.explode(blocks)).select("block", "rank", "near", "lines", "sizes")
         gone = keep(ranked.groupBy("block").applyInPandas(compare_block, "rank long, gone array<int>"), folder, "gone")
         gone = keep(placed.select("row", "rank").join(gone, "rank").drop("rank"), folder, "cut")
         some = probably_in(F.col("row"), gone.select("row"), folder, "bloom")  # only these pages' lines are shuffled
