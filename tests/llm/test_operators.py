@@ -146,6 +146,22 @@ def test_language_id_of_odd_labels(spark):
     assert [f.dataType.typeName() for f in got.schema.fields if f.name == "score"] == ["double"] and sorted(r.lang_pred for r in got.collect()) == ["en", "en", "ja"]
 
 
+def test_language_id_learns_every_label(spark):
+    rows = [(i, f"the thing number {'abcdefghij'[i % 10]} at hand is there", "en") for i in range(60)] + [(1, "das ist der eine deutsche satz hier", "de")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for fitted in (language_id.fit(table), language_id.fit(table, drop_odd=True)):
+        assert fitted.langs == ["de", "en"] and np.isinf(fitted.limits[0]) and np.isfinite(fitted.limits[1])
+        got = {r.text: (r.lang_pred, r.score, r.rejected) for r in language_id.predict(spark.createDataFrame([(t,) for t in ("der eine satz ist hier", "is the thing there", None, "", "12 34 !")], "text string"), fitted).collect()}
+        assert got["der eine satz ist hier"][0] == "de" and got["is the thing there"][0] == "en"
+        assert [got[t] for t in (None, "", "12 34 !")] == [("und", 0.0, True)] * 3
+    odd = spark.createDataFrame([*rows[:-1], (2, "zq" * 300, "en")], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([("zq" * 200,)], "text string")
+    assert [language_id.predict(asked, language_id.fit(odd, drop_odd=d)).first().rejected for d in (False, True)] == [False, True]
+    many = [(i, "".join(chr(0x4E00 + 3 * k + j % 3) for j in range(12)) + " " + chr(0x4E00 + 3 * k) * 3, f"l{k:03d}") for i, k in enumerate(range(200))]
+    models = language_id.fit(spark.createDataFrame(many, "doc_id long, text string, lang string"))
+    assert len(models.langs) == 200
+
+
 def test_packing_leaves_no_gap(spark):
     d = docs(spark)
     total = {r.doc_id: r.n_tokens + 1 for r in bpe_coding.digests(d).collect()}

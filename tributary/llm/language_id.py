@@ -8,9 +8,10 @@ failing that, at shorter ones with the back-off weights added.  As no context cr
 distinct word is scored once per task and kept in a bounded table.
 
 The language with the lowest cross-entropy per letter wins (ties: the first by name).  A text is rejected when its
-cross-entropy lies above the limit of that language: the quantile QUANTILE of a held-back part of its sample, plus SLACK nats, so
-that clean texts pass; a language without held-back rows rejects none.  Rows that models of the held-back part alone would
-reject in the same way are not learned from, so labelled junk does not pass for its label.  Null texts and texts without letters get ``und``, score 0, and are rejected.
+cross-entropy lies above the limit of that language: the quantile QUANTILE of every CALIBRATE-th row of its sample under models of the others, plus SLACK nats, so
+that clean texts pass; a language without such rows, or without others, rejects none.  The final models are learned from all rows of the sample, so no label is lost, however few rows it has.
+With ``drop_odd`` (off by default; the pipeline's filter asks for it) rows that models which have not seen them reject in the same way are not learned from, so labelled junk does not pass for its
+label; a label's rare scripts or dialects can go with it.  Null texts and texts without letters get ``und``, score 0, and are rejected.
 ``score`` is the softmax over languages of minus the cross-entropy per letter, sharpened by SHARP.
 
 Rows with null lang are not learned from, nor is a label without any letters in its sample; with no labelled rows at all every text gets ``und``.  lang, source and
@@ -35,7 +36,7 @@ from .common import arrow_map, discard, keep, release, shared_folder
 ORDER, DISCOUNT = 5, 0.75
 #: Rows of each language that a model is fitted on, at most (in expectation: a hash sample).
 SAMPLE_ROWS = 1500
-#: Every CALIBRATE-th of them only calibrates the limit.
+#: Every CALIBRATE-th of them calibrates the limits before it is learned from.
 CALIBRATE = 8
 QUANTILE, SLACK, SHARP = 0.9, 1.25, 8.0
 #: Distinct words whose scores are kept per task, and the longest that is kept or counted in one piece.
@@ -234,7 +235,7 @@ class Scorer:
         return langs, scores.tolist(), [None if math.isnan(x) else x for x in low.tolist()], reject.tolist()
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Models:
+def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, drop_odd: bool = False) -> Models:
     """Models from the labelled rows of ``docs`` (text, lang, and doc_id for the sampling hash)."""
     known = docs.filter("lang is not null and text is not null")
     totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -246,14 +247,16 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Models:
     folder = shared_folder(docs.sparkSession)
     sample = keep(sample, folder, "sample")
     tune, train = sample.filter("tune"), sample.filter("not tune")
-    odd = own_entropies(train, learn(tune))  # by models that have not seen these rows
-    bounds = limits(odd)
-    if bounds:
-        bound = F.create_map(*[F.lit(x) for item in bounds.items() for x in item])[F.col("lang")]
-        train = odd.filter(F.col("h").isNull() | bound.isNull() | (F.col("h") <= bound))
-    models = learn(train)
-    for lang, limit in limits(own_entropies(tune, models)).items():
-        models.limits[models.langs.index(lang)] = limit
+    if drop_odd:
+        train = within(own_entropies(train, learn(tune)))
+    tuned = own_entropies(tune, learn(train))  # by models that have not seen these rows
+    bounds = limits(tuned)
+    if drop_odd:
+        tune = within(tuned, bounds)
+    models = learn(train.select("lang", "text").unionByName(tune.select("lang", "text")))
+    for lang, limit in bounds.items():
+        if lang in models.langs:
+            models.limits[models.langs.index(lang)] = limit
     discard(docs.sparkSession, folder, "sample")
     return models
 
@@ -290,6 +293,13 @@ def limits(scored: DataFrame) -> dict[str, float]:
     return {r["lang"]: r["h"] + SLACK for r in scored.filter("h IS NOT NULL").groupBy("lang").agg(F.percentile("h", F.lit(QUANTILE)).alias("h")).collect()}  # a row per language
 
 
+def within(scored: DataFrame, bounds: dict[str, float] | None = None) -> DataFrame:
+    """The rows whose entropy is below their label's limit, or that have none."""
+    bounds = limits(scored) if bounds is None else bounds
+    bound = F.create_map(*[F.lit(x) for item in bounds.items() for x in item])[F.col("lang")] if bounds else F.lit(None)
+    return scored.filter(F.col("h").isNull() | bound.isNull() | (F.col("h") <= bound))
+
+
 def predict(docs: DataFrame, models: Models) -> DataFrame:
     """``docs`` (every column that does not clash) with the columns of PREDICTED."""
     spark = docs.sparkSession
