@@ -1,6 +1,11 @@
 """From documents to packed sequences: five stages, each by one operator of tributary.llm.
 
 Every stage reads what its predecessor wrote and keeps all of it but what its own decision removes.
+
+Null texts, empty ones and those without letters are in no known language and go in the first stage; so later stages see texts only.
+Very long texts are read whole by every stage.  Rows that repeat are one group of equal texts: one stays.  Rows that share a doc_id but no text all stay;
+each stage knows a row by its place (file and row), never by doc_id alone.  Other nulls (doc_id, lang, source) decide nothing but ties, where null is the smallest.
+An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from tributary.llm.common import keep, shared_folder
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those that the models reject go."""
-    models = language_id.fit(docs)
+    models = language_id.fit(docs, drop_odd=True)
     names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # none that a prediction has
     return language_id.predict(docs.toDF(*names), models).filter("not rejected").select(names).toDF(*docs.columns)
 
