@@ -212,5 +212,19 @@ def test_broken_copy_turns_ok_false(spark):
     assert not quality.equivalent("x", good, good.unionByName(good)).first().ok
 
 
+def test_fingerprints_tell_multisets_apart(spark):
+    rows = [(i % 7, None if i % 5 else f"x{i % 3}", i / 3) for i in range(300)]
+    table = spark.createDataFrame(rows, "a int, b string, c double")
+    swapped = spark.createDataFrame([(None, 1), (2, None)], "a int, b int")
+    pairs = {
+        "same": (table, table.repartition(5).select("a", "b", "c")),
+        "one row twice": (table, table.unionByName(table.limit(1))),
+        "one value": (table, table.withColumn("c", F.when((F.col("a") == 3) & (F.col("c") < 2), F.lit(9.0)).otherwise(F.col("c")))),
+        "nulls elsewhere": (swapped, swapped.select(F.col("b").alias("a"), F.col("a").alias("b"))),
+    }
+    got = {r.subject: (r.observed, r.ok) for r in quality.equivalent_marts(pairs, buckets=16).collect()}
+    assert got["same"] == (0.0, True) and got["one row twice"] == (1.0, False) and got["one value"] == (2.0, False) and got["nulls elsewhere"] == (4.0, False)
+
+
 def test_flagship_runs(spark):
     assert registry.QUERIES[registry.FLAGSHIP](spark, "/root/testdata/sf0.001").count() == 5
