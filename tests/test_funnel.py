@@ -82,6 +82,26 @@ def test_chunks_split_at_headings_and_pack_paragraphs(spark):
     assert got == [("", 1, 1), ("Two", 1, 290), ("Two", 2, 400)]
 
 
+def test_short_sections_stay_as_they_stand(spark):
+    text = "intro  line\n  with\ttabs\n\n\n\nmore\n## Head \none\n\n\ntwo\n#not a heading\n# Empty\n\n"
+    got = [(r.heading, r.part, r.text, r.n_words) for r in retrieval.chunks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("section").collect()]
+    assert got == [("", 1, "intro  line\n  with\ttabs\n\n\n\nmore", 5), ("Head", 1, "one\n\n\ntwo\n#not a heading", 5)]
+
+
+def test_embed_cache_is_not_shuffled(spark):
+    cache = retrieval.EmbedCache(spark, "embedded_test", 8)
+    keyed = spark.range(100).select(F.concat(F.lit("k"), F.col("id") % 40).alias("key"), "id")
+    assert cache.missing(keyed).count() == 100
+    cache.add(keyed.filter("id < 30"))
+    plan = cache.missing(keyed)._jdf.queryExecution().executedPlan().toString()
+    assert {r.key for r in cache.missing(keyed).collect()} == {f"k{i}" for i in range(30, 40)} and plan.count("Exchange hashpartitioning") == 1
+    cache.add(keyed)
+    cache.add(keyed)
+    assert cache.missing(keyed).count() == 0 and spark.table("embedded_test").count() == 40
+    changed = keyed.filter("id = 5").select(F.concat("key", F.lit("changed")).alias("key"))
+    assert [r.key for r in cache.missing(changed).collect()] == ["k5changed"]
+
+
 def test_referential(spark):
     yes = ["What about that channel in the other of the two markets", "Show IT as a chart of all markets and weeks", "Şunu cihaza göre bütün pazarlar için kırar mısın", "Şimdi de app tarafını bütün pazarlar için göster", "one two three four five", "And by device?"]
     no = ["", "   ", "one two three four five six", "iterate over every single market and channel", "Please export the raw notebook analysis workbook file for review", "Compare hearing aid pairing rate by acquisition channel across markets"]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,13 +15,19 @@ from tributary.scratch import keep, shared_folder
 
 
 def chunks(docs: DataFrame, budget: int = 300, paragraph: str = r"\n\s*\n") -> DataFrame:
-    """doc_id, heading, part, text, n_words: sections at heading lines, packed by paragraphs up to the word budget."""
-    lines = F.split(F.coalesce("text", F.lit("")), r"(?m)^(?=#{1,6}\s+)")
+    """doc_id, section, heading, part, text, n_words: sections at heading lines, as they stand if they are within the word budget, else packed by paragraphs up to it.
+
+    Text before the first heading has an empty heading; sections without words give none.  ``label`` names a chunk's heading with its part.
+    """
+    lines = F.split(F.coalesce("text", F.lit("")), r"(?m)^(?=#{1,6}[^\S\n]+)")
     sections = docs.select("doc_id", F.posexplode(lines).alias("section", "body"))
-    head = F.regexp_extract("body", r"^#{1,6}\s+([^\n]*)", 1)
-    body = F.when(F.col("body").rlike(r"^#{1,6}\s+"), F.regexp_replace("body", r"^#{1,6}\s+[^\n]*\n?", "")).otherwise(F.col("body"))
-    sections = sections.select("doc_id", "section", F.trim(head).alias("heading"), F.filter(F.transform(F.split(body, paragraph), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "").alias("paragraphs")).filter(F.size("paragraphs") > 0)
+    is_head = F.col("body").rlike(r"^#{1,6}[^\S\n]+")
+    head = F.when(is_head, F.regexp_extract("body", r"^#{1,6}[^\S\n]+([^\n]*)", 1)).otherwise("")
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    body = strip(F.when(is_head, F.regexp_replace("body", r"^#{1,6}[^\S\n]+[^\n]*\n?", "")).otherwise(F.col("body")))
     words = lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != ""))
+    sections = sections.select("doc_id", "section", F.trim(head).alias("heading"), body.alias("body")).filter("body != ''").withColumn("n", words(F.col("body")))
+    paragraphs = F.filter(F.transform(F.split("body", paragraph), strip), lambda p: p != "")
     empty = F.array().cast("array<struct<text:string,n:int>>")
 
     def add(acc: Column, p: Column) -> Column:
@@ -31,10 +37,16 @@ def chunks(docs: DataFrame, budget: int = 300, paragraph: str = r"\n\s*\n") -> D
         alone = F.struct(p.alias("text"), words(p).cast("int").alias("n"))
         return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(alone)))
 
-    packed = sections.withColumn("packed", F.aggregate("paragraphs", empty, add))
+    whole = F.array(F.struct(F.col("body").alias("text"), F.col("n").cast("int").alias("n")))
+    packed = sections.withColumn("packed", F.when(F.col("n") <= budget, whole).otherwise(F.aggregate(paragraphs, empty, add)))
     return packed.select("doc_id", "section", "heading", F.posexplode("packed").alias("i", "c")).select("doc_id", "section", "heading", (F.col("i") + 1).alias("part"), "c.text", F.col("c.n").alias("n_words"))
 
 
+def label(heading: Column, part: Column, parts: Column) -> Column:
+    """What a chunk's heading is called: with its part, if there are several."""
+    return F.when(parts > 1, F.concat(heading, F.lit(" (part "), part.cast("string"), F.lit(")"))).otherwise(heading)
+
+
 def bm25(docs: DataFrame, query: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """doc_id, score, rank: top k of one question; a repeated query word counts again; only scores above 0.  docs: doc_id, text and maybe heading.
 
@@ -109,3 +121,31 @@ def to_embed(chunked: DataFrame, cache: DataFrame) -> DataFrame:
     """Chunks whose content key is not in ``cache`` (key).  chunked: source, heading, text."""
     key = F.concat_ws("|", F.coalesce("source", F.lit("")), F.coalesce("heading", F.lit("")), F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16))
     return chunked.withColumn("key", key).join(cache.select("key"), "key", "left_anti")
+
+
+def content_key(source: Column, heading: Column, text: Column) -> Column:
+    """What a chunk is known by: where it stands and a digest of what it says."""
+    return F.concat_ws("::", F.coalesce(source, F.lit("")), F.coalesce(heading, F.lit("")), F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 16))
+
+
+class EmbedCache:
+    """The keys of chunks that have been embedded, in a table bucketed by key.
+
+    New chunks are dealt to the table's buckets and meet them there: the cache, which only grows, is never shuffled.
+    """
+
+    def __init__(self, spark: SparkSession, table: str, buckets: int = 64) -> None:
+        self.spark, self.table, self.buckets = spark, table, buckets
+        if not spark.catalog.tableExists(table):
+            self.write(spark.createDataFrame([], "key string"))
+
+    def write(self, keys: DataFrame) -> None:
+        keys.select("key").write.mode("append").format("parquet").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(self.table)
+
+    def missing(self, keyed: DataFrame) -> DataFrame:
+        """The rows of ``keyed`` whose key is not in the cache."""
+        return keyed.repartition(self.buckets, "key").join(self.spark.table(self.table).hint("merge"), "key", "left_anti")
+
+    def add(self, keyed: DataFrame) -> None:
+        """Take in the keys that are missing; the same rows again add nothing."""
+        self.write(self.missing(keyed).select("key").distinct().repartition(self.buckets, "key"))
