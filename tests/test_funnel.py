@@ -50,8 +50,11 @@ def test_relative_ranges(spark):
 
 def test_severity_ladder_floor_and_history(spark):
     rows = [("a", 10, 10.0, 14, z) for z in (1.49, 1.5, 2.5, -4.0)] + [("b", 4, 4.0, 20, 9.0), ("c", 10, 10.0, 13, 9.0), ("d", 10, 10.0, 20, None)]
-    bands = spark.createDataFrame(rows, "event_name string, actual_count long, band_avg double, band_days long, deviation_z double").withColumns({"source": F.lit("web"), "segment": F.lit("x")})
+    bands = spark.createDataFrame(rows, "event_name string, actual_count long, band_avg double, band_days long, deviation_z double").withColumns({"source": F.lit("web"), "segment": F.lit("x"), "day": F.lit("2026-01-10").cast("date"), "band_stddev": F.lit(10.0)})
     got = watchdog.volume_findings(bands).collect()
+    low = next(r for r in got if r.z < 0)
+    assert low.details == {"day": "2026-01-10", "event_name": "a", "segment": "x", "source": "web", "actual_count": "10", "band_days": "14", "band_avg": "10.000000", "band_stddev": "10.000000", "deviation_z": "-4.000000"}
+    assert low.message == "web:a:x on 2026-01-10: 10 events, 4.00 deviations below its mean of 10.000 over the 14 rows before"
     assert sorted((r.severity, r.direction) for r in got) == [("critical", "below"), ("info", "above"), ("warning", "above")]
 
 
@@ -64,7 +67,9 @@ def test_band_of_a_flat_series_has_no_z(spark):
 def test_column_drift(spark):
     live = spark.sql("SELECT * FROM VALUES ('t', 'a', 'int'), ('t', 'new', 'int'), ('t', 'b', 'string') AS v(table_name, column_name, data_type)")
     then = spark.sql("SELECT * FROM VALUES ('t', 'a', 'int'), ('t', 'gone', 'int'), ('t', 'b', 'int') AS v(table_name, column_name, data_type)")
-    assert {(r.subject, r.severity, r.direction) for r in watchdog.column_drift(live, then).collect()} == {("t.new", "warning", "new"), ("t.gone", "critical", "missing"), ("t.b", "warning", "retyped")}
+    assert {(r.subject, r.severity, r.direction) for r in watchdog.column_drift(live, then).collect()} == {("column:t.new", "warning", "new"), ("column:t.gone", "critical", "missing"), ("column:t.b", "warning", "type_changed")}
+    details = {r.subject: r.details for r in watchdog.column_drift(live, then).collect()}
+    assert details["column:t.b"] == {"table": "t", "column": "b", "kind": "type_changed", "expected_type": "int", "actual_type": "string"} and details["column:t.gone"] == {"table": "t", "column": "gone", "kind": "missing"}
 
 
 def test_filter_validation_names_the_known_values(spark):
@@ -168,6 +173,16 @@ def test_governed_reads(spark):
     assert load.governed(spark, "SELECT * FROM (VALUES (1), (2), (3)) v(z)", set(), cap=2).count() == 2
 
 
+def test_governed_rows_are_counted_and_capped(spark):
+    spark.range(30).selectExpr("id AS a", "'x' AS s").createOrReplaceTempView("ok_view")
+    read = lambda sql, cap: load.governed_rows(spark, sql, {"ok_view"}, cap)
+    for sql, cap, count, more in (("SELECT a FROM ok_view", 10, 10, True), ("SELECT a FROM ok_view", 30, 30, False), ("SELECT a FROM ok_view LIMIT 7", 10, 7, False), ("SELECT a FROM ok_view LIMIT 1000", 29, 29, True), ("SELECT a FROM ok_view WHERE a < 0", 5, 0, False)):
+        got = read(sql, cap)
+        assert (len(got.rows), got.row_count, got.truncated) == (count, count, more), sql
+    with pytest.raises(PermissionError):
+        read("SELECT * FROM secret", 5)
+
+
 def test_load_turns_nanoseconds_into_microseconds(spark, tmp_path):
     pq.write_table(pa.table({"id": [1, 2], "ts": pa.array([1_700_000_000_123_456_789, None], pa.timestamp("ns"))}), tmp_path / "raw.parquet")
     before = spark.conf.get(load.NANOS)
@@ -207,6 +222,18 @@ def test_registry_lists_sorted_values(spark):
     assert got["column", "app_events"] == ["event_id:bigint", "platform:string"] and got["event_name", "app_events"] == ["w", "x"] and got["app_version", "app_events"] == ["6.2.1"]
 
 
+def test_a_stored_registry_comes_back(spark, tmp_path):
+    app = app_rows(spark, [("a", "x", T0), ("b", "w", T0)])
+    state = watchdog.registry({"app_events": app.select("platform", "event_id")}, app, app, watchdog.Thresholds(warning=3.5, history=9))
+    watchdog.store(state, F.lit("2024-01-01").cast("date"), f"file://{tmp_path}/registry")
+    r = watchdog.read_registry(spark, f"file://{tmp_path}/registry")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(r.columns) == [("app_events", "event_id", "bigint"), ("app_events", "platform", "string")] and rows(r.versions) == [("6.2.1",)]
+    assert rows(r.events) == [(t, e) for t in ("app_events", "web_events") for e in ("w", "x")] and r.thresholds == watchdog.Thresholds(warning=3.5, history=9)
+    (tmp_path / "old.json").write_text('{"expected_app_versions": ["1"], "thresholds": {"band_multiplier_info": 2}}')
+    assert watchdog.read_registry(spark, f"file://{tmp_path}/old.json").thresholds == watchdog.Thresholds(info=2.0)
+
+
 def test_cosine_ties_and_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 0.0]), (4, [0.0, 1.0]), (5, None), (6, [1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -91,6 +91,12 @@ class Tables:
         """Support sessions: like pairings, they are stood in for by error events (those with k below 30)."""
         return self.events.filter((F.col("event_type") == "error") & (F.col("k") < 30)).select("event_id", F.col("eid").alias("hashed_device_id"), F.col("ts").alias("event_timestamp"))
 
+    def with_events(self) -> Tables:
+        """The same tables with events written once, for jobs that read them many times."""
+        out = Tables(self.spark, self.sf_dir, self.retention)
+        out.events = keep(self.events, shared_folder(self.spark), "events")
+        return out
+
     def materialised(self) -> Tables:
         """The same tables with events and stages written once, for jobs that read them many times."""
         folder = shared_folder(self.spark)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 NANOS = "spark.sql.legacy.parquet.nanosAsLong"
@@ -78,7 +79,28 @@ FUNCTIONS = set(
 )
 
 
-def governed(spark: SparkSession, sql: str, allowed: set[str], cap: int = 5000) -> DataFrame:
+#: Rows that a governed read gives at most: asked directly, and as a tool.
+DIRECT_ROWS, TOOL_ROWS = 5000, 200
+
+
+@dataclass(frozen=True)
+class Result:
+    rows: list[Row]
+    row_count: int
+    truncated: bool  # whether the statement has more rows than these
+
+
+def governed_rows(spark: SparkSession, sql: str, allowed: set[str], cap: int = TOOL_ROWS) -> Result:
+    """The rows of a governed read, ``cap`` at most, their number, and whether there are more; a smaller LIMIT of the statement's own holds.
+
+    One row more than the cap is asked for, and an observation of that read counts what came: the statement runs once.
+    """
+    seen = Observation()
+    rows = governed(spark, sql, allowed, cap + 1).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    return Result(rows[:cap], min(seen.get["n"], cap), seen.get["n"] > cap)
+
+
+def governed(spark: SparkSession, sql: str, allowed: set[str], cap: int = DIRECT_ROWS) -> DataFrame:
     """The rows of one read-only statement over allowed relations, ``cap`` at most.
 
     Spark's own parser reads the statement.  It may hold only OPERATORS and FUNCTIONS.  A name that WITH defines stands for its
