@@ -11,9 +11,11 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``."""
+    """A new folder below ``spark.checkpoint.dir``, which only a single machine may leave unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{LOCAL_CHECKPOINTS}"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
