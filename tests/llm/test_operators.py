@@ -352,10 +352,11 @@ def links_by_hand(texts):
     return sets, [{j for j, b in enumerate(sets) if b != a and len(a & b) >= 0.8 * len(a | b)} for a in sets]
 
 
-def test_jaccard_join_finds_all_links(spark, monkeypatch):
+@pytest.mark.parametrize(("unit", "most"), [("BLOCK", 3), ("WEIGHT", 700)])
+def test_jaccard_join_finds_all_links(spark, monkeypatch, unit, most):
     texts = near_texts()
     sets, want = links_by_hand(texts)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 3)  # components and nodes in many blocks
+    monkeypatch.setattr(jaccard_join, unit, most)  # components and nodes in many blocks, by classes or by shingles
     deep = []
     own = jaccard_join.links_at
     monkeypatch.setattr(jaccard_join, "links_at", lambda d, c, depth, *a: deep.append(depth) or own(d, c, depth, *a))

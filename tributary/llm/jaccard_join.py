@@ -10,7 +10,7 @@
    longest at which TARGET is expected, and only pairs that did not meet before are verified.  It ends when TARGET is
    reached, or at the prefix that gives TARGET even if every link were just at the threshold.  One link at the
    threshold is always assumed, so a few very similar links prove nothing.
-3. Verification: nodes that share classes form candidate components.  A component is dealt into blocks and each pair of blocks
+3. Verification: nodes that share classes form candidate components.  A component is dealt into blocks, by its classes and their shingles, and each pair of blocks
    meets in one task; where that would carry more classes than its nodes would one by one (components that are chains),
    each node is dealt instead, and a pair counts in the first tree in which it meets.  Small components share a task.  Only pairs
    that share a node are compared, on their full shingle sets.  A task returns each class's number of links, a spanning forest of
@@ -40,8 +40,8 @@ from .common import arrow_map, discard, free_name, keep, located, locator, proba
 
 WORDS, THRESHOLD, TARGET = 5, 0.8, 0.9995
 TREES, DEPTH = 16, 8
-#: Classes of a block; two blocks meet in a task.
-BLOCK = 512
+#: Classes of a block, and their shingles (of 8 bytes each), in expectation; two blocks meet in a task.
+BLOCK, WEIGHT = 512, 1 << 20
 #: Distinct words whose hashes a task keeps.
 TABLE = 200_000
 WORD = re.compile(r"\w+")
@@ -115,18 +115,19 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, at, digest of the shingle set and its signature (null: no shingles)."""
-    schema = "doc_id long, at struct<file: string, row: long>, digest binary, signature binary"
+    """doc_id, at, digest of the shingle set, its signature (null: no shingles) and its size."""
+    schema = "doc_id long, at struct<file: string, row: long>, digest binary, signature binary, size int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in batches:
-            digests, signatures = [], []
+            digests, signatures, sizes = [], [], []
             for text in batch.column(2).to_pylist():
                 s = shingles(text, known)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 signatures.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "at", "digest", "signature"])
+                sizes.append(len(s))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "at", "digest", "signature", "size"])
 
     return arrow_map(docs.select("doc_id", "at", "text"), run, schema)
 
@@ -222,7 +223,7 @@ def verify(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
         return i
 
     left = Side(rows.iloc[p])
-    for i, j, s in similar(left, left if x == y else Side(rows.iloc[q]), threshold, x == y, node):
+    for i, j, s in similar(left, left if x == y else Side(rows.iloc[q]), threshold, x == y, node) if len(p) and len(q) else ():  # a block may be empty
         i, j = int(p[i]), int(q[j])
         links[i] += 1
         links[j] += 1
@@ -238,27 +239,32 @@ def verify(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
 WHOLE, NODE, SMALL = 0, 1, 2
 
 
+def blocks(n: Column, weight: Column) -> Column:
+    """Blocks for ``n`` classes of ``weight`` shingles."""
+    return F.ceil(F.greatest(n / BLOCK, weight / WEIGHT)).cast("int")
+
+
 def deal(classes: DataFrame, depth: int, before: int | None, folder: str) -> DataFrame:
     """id, way, grp, blocks, block: where each class meets others for which the prefixes of ``depth`` values agree."""
     keys = F.transform(node_keys(depth), lambda k: F.struct(k.alias("node"), F.lit(0).cast("long").alias("child")))
     if before:
         keys = F.zip_with(node_keys(depth), node_keys(before), lambda k, c: F.struct(k.alias("node"), c.alias("child")))
-    members = classes.select("id", F.explode(keys).alias("k")).select("id", "k.*")
+    members = classes.select("id", "size", F.explode(keys).alias("k")).select("id", "size", "k.*")
     branch = F.lit(True) if before is None else F.col("c0") != F.col("c1")  # else all pairs met before
-    shared = members.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.min("child").alias("c0"), F.max("child").alias("c1"))
-    shared = shared.filter((F.col("n") > 1) & branch).select("node", "low", "n")
+    shared = members.groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.sum("size").alias("weight"), F.min("child").alias("c0"), F.max("child").alias("c1"))
+    shared = shared.filter((F.col("n") > 1) & branch).select("node", "low", blocks(F.col("n"), F.col("weight")).alias("blocks"))
     meets = keep(members.select("id", "node").join(shared, "node"), folder, f"meets{depth}")
     places = keep(components(meets.select(F.col("id").alias("a"), F.col("low").alias("b")), folder, f"candidates{depth}"), folder, f"places{depth}")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    cost = meets.join(places, "id").groupBy("root").agg(F.sum(blocks("n")).alias("by_node"))
-    sizes = places.groupBy("root").agg(F.count("*").alias("m")).join(cost, "root")
-    way = F.when(F.col("m") <= BLOCK // 4, SMALL).when(F.col("m") * blocks("m") <= F.col("by_node"), WHOLE).otherwise(NODE)
-    sizes = keep(sizes.select("root", "m", way.alias("way")), folder, f"sizes{depth}")
-    bundles = max(1, -(-(sizes.filter(F.col("way") == SMALL).agg(F.sum("m")).first()[0] or 0) // BLOCK))
+    cost = meets.join(places, "id").groupBy("root").agg(F.sum("blocks").alias("by_node"))
+    weighed = places.join(classes.select("id", "size"), "id").groupBy("root").agg(F.count("*").alias("m"), F.sum("size").alias("weight"))
+    sizes = weighed.withColumn("parts", blocks(F.col("m"), F.col("weight"))).join(cost, "root")
+    way = F.when((F.col("m") <= BLOCK // 4) & (F.col("weight") <= WEIGHT // 4), SMALL).when(F.col("m") * F.col("parts") <= F.col("by_node"), WHOLE).otherwise(NODE)
+    sizes = keep(sizes.select("root", "m", "weight", "parts", way.alias("way")), folder, f"sizes{depth}")
+    bundles = sizes.filter(F.col("way") == SMALL).agg(blocks(F.sum("m"), F.sum("weight"))).first()[0] or 1
     of = places.join(sizes, "root")
     small = F.col("way") == SMALL
-    whole = of.filter(F.col("way") != NODE).select("id", "way", F.when(small, F.pmod(F.xxhash64("root"), F.lit(bundles))).otherwise(F.col("root")).alias("grp"), F.when(small, 1).otherwise(blocks("m")).alias("blocks"))
-    chain = meets.join(of.filter(F.col("way") == NODE).select("id", "way"), "id").select("id", "way", F.col("node").alias("grp"), blocks("n").alias("blocks"))
+    whole = of.filter(F.col("way") != NODE).select("id", "way", F.when(small, F.pmod(F.xxhash64("root"), F.lit(bundles))).otherwise(F.col("root")).alias("grp"), F.when(small, 1).otherwise(F.col("parts")).alias("blocks"))
+    chain = meets.join(of.filter(F.col("way") == NODE).select("id", "way"), "id").select("id", "way", F.col("node").alias("grp"), "blocks")
     return whole.unionByName(chain).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
 
@@ -294,12 +300,12 @@ def find(docs: DataFrame, folder: str, threshold: float, target: float) -> tuple
     """(doc_id, at, digest of every row; digest, id, class_id, class_size, root, n_links of every class)."""
     docs = located(docs, folder).select(F.col("doc_id").cast("long").alias("doc_id"), locator().alias("at"), "text")
     described = keep(describe(docs), folder, "described")
-    first = F.min(F.struct("doc_id", "at", "signature")).alias("first")  # equal shingle sets have equal signatures
+    first = F.min(F.struct("doc_id", "at", "signature", "size")).alias("first")  # equal shingle sets have equal signatures and sizes
     classes = described.filter("digest IS NOT NULL").groupBy("digest").agg(first, F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    classes = keep(classes.select("digest", "class_id", "class_size", "first.at", "first.signature", F.monotonically_increasing_id().alias("id")), folder, "classes")
+    classes = keep(classes.select("digest", "class_id", "class_size", "first.at", "first.signature", "first.size", F.monotonically_increasing_id().alias("id")), folder, "classes")
     depth, before, links, shape = DEPTH, None, None, {}
     while True:
-        new = links_at(docs, classes.select("id", "at", "signature"), depth, before, threshold, folder)
+        new = links_at(docs, classes.select("id", "at", "signature", "size"), depth, before, threshold, folder)
         links = new if links is None else links.unionByName(new)
         for r in new.filter(F.col("kind") == SHAPE).groupBy("a").agg(F.sum("n").alias("n")).collect():  # 101 rows at most
             s = max(threshold, r["a"] / 100)
@@ -310,7 +316,7 @@ def find(docs: DataFrame, folder: str, threshold: float, target: float) -> tuple
         depth, before = further, depth
     groups = components(links.filter(F.col("kind") == LINK).select("a", "b"), folder, "groups")
     counts = links.filter(F.col("kind") == COUNT).groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
-    table = classes.drop("at", "signature").join(groups, "id", "left").join(counts, "id", "left")
+    table = classes.drop("at", "signature", "size").join(groups, "id", "left").join(counts, "id", "left")
     return described.select("doc_id", "at", "digest"), table
 
 
