@@ -105,7 +105,7 @@ COMMENTS = {
 
 
 def publish(t: Tables, marts: dict[str, Callable[[Tables], DataFrame]], prefix: str = "") -> Catalog:
-    """Every layer as catalog objects, each built from the objects below it; sources that did not arrive whole stop the build."""
+    """Every layer as catalog objects, each built from the objects below it; a table that does not hold all its rows stops the build."""
     catalog, t = Catalog(t.spark, prefix), t.with_events()
     out = Tables(t.spark, t.sf_dir, t.retention)
     held = lambda layer, name, rows: catalog.table(layer, name, rows, COMMENTS[name])
