@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -536,3 +537,36 @@ def test_suffix_order():
         padded = [[*t[i:], *[0] * (i + 3)] for i in range(len(t))]
         order = np.argsort(rank, kind="stable")
         assert all(padded[a] <= padded[b] for a, b in zip(order, order[1:]))
+
+
+def test_warc_of_a_whole_table_against_brute_force(spark):
+    path = f"{os.environ.get('TEST_SF_DIR', '/root/testdata/sf0.001')}"
+    pages = [(r.page_id, (r.html or "").encode()) for r in spark.read.parquet(f"{path}/pages.parquet").collect()]
+    first = {}
+    for page_id, data in pages:
+        first[data] = min(page_id, first.get(data, page_id))
+    want = [(i, len(data), warc.base32_sha1(data), "response" if first[data] == i else "revisit", None if first[data] == i else first[data]) for i, data in pages]
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op2_warc(spark, path).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_packed_ids_equal_the_tokenizer(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    exact = tokenizers.Tokenizer.from_file(common.tokenizer_file())
+    texts = [*TEXTS, TEXTS[5], TEXTS[5]]
+    table = spark.createDataFrame([(i, t, 7, 9) for i, t in enumerate(texts)], "doc_id long, text string, length int, ids_crc32 int").coalesce(1)
+    ids = {i: [*exact.encode(t or "", add_special_tokens=False).ids, packing.END] for i, t in enumerate(texts)}
+    pieces = packing.pack(table).collect()
+    for p in pieces:
+        part = np.array(ids[p.doc_id][p.start : p.start + p.length], "<u4")
+        assert (p.length, p.ids_crc32, p.doc_tokens) == (len(part), zlib.crc32(part.tobytes()), len(ids[p.doc_id]))
+    filled, windows = sum(p.length for p in pieces), len({p.sequence_id for p in pieces})
+    assert filled == sum(map(len, ids.values())) and windows <= -(-filled // packing.WINDOW) + 1  # one task: little padding
+
+
+def test_bpe_of_repeated_rows_and_none(spark):
+    table = spark.createDataFrame([(1, "Same text", 3, "x"), (1, "Same text", 3, "x"), (None, None, 4, "y")], "doc_id long, text string, n_tokens int, ids_sha256 string")
+    got = [(r.doc_id, r.n_tokens, r.ids_sha256) for r in bpe_coding.digests(table).collect()]
+    empty = hashlib.sha256(b"").hexdigest()
+    assert len(got) == 3 and got.count((None, 0, empty)) == 1 and len({x for x in got if x[0] == 1}) == 1
+    assert bpe_coding.digests(table.limit(0)).count() == 0
