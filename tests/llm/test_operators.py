@@ -570,3 +570,31 @@ def test_bpe_of_repeated_rows_and_none(spark):
     empty = hashlib.sha256(b"").hexdigest()
     assert len(got) == 3 and got.count((None, 0, empty)) == 1 and len({x for x in got if x[0] == 1}) == 1
     assert bpe_coding.digests(table.limit(0)).count() == 0
+
+
+def test_language_id_predictions_against_plain_kneser_ney(spark):
+    rng = random.Random(9)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(8))
+    rows = [(i, text("abcde" if i % 2 else "cdefg"), "xy"[i % 2]) for i in range(60)]
+    asked = [text("abcde"), text("cdefg"), text("cde"), "AbC 12 gf!", "zzz"]
+    models = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    own = {k: plain_kneser_ney(Counter(w for _, t, lang in rows if lang == k for w in t.split())) for k in "xy"}
+    got = {r.text: r for r in language_id.predict(spark.createDataFrame([(t,) for t in asked], "text string"), models).collect()}
+    for t in asked:
+        words = language_id.WORD.findall(t.lower())
+        h = {k: -sum(map(p, words)) / sum(len(w) + 1 for w in words) for k, p in own.items()}
+        best = min(sorted(h), key=h.get)
+        score = 1 / sum(math.exp((h[best] - v) * language_id.SHARP) for v in h.values())
+        assert got[t].lang_pred == best and abs(got[t].cross_entropy - h[best]) < 1e-3 and abs(got[t].score - score) < 1e-2, t
+
+
+def test_language_id_of_a_whole_table(spark):
+    path = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    known = {r.doc_id: (r.text, r.lang) for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    got = language_id.op3_language_id(spark, path).collect()
+    assert sorted(r.doc_id for r in got) == sorted(known) and all(0 <= r.score <= 1 for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    learned = {lang for i, (t, lang) in known.items() if lang and t and zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {r.lang_pred for r in got} <= learned | {"und"}
+    held = [(r.lang_pred, known[r.doc_id][1]) for r in got if r.held_out and known[r.doc_id][1] in learned and re.search(r"[^\W\d_]", known[r.doc_id][0] or "")]
+    assert sum(a == b for a, b in held) >= 0.98 * len(held) > 0
