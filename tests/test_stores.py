@@ -1,9 +1,12 @@
 """The session store and the limiter against plain replays."""
 
+import contextlib
 import random
+import threading
 from collections import OrderedDict, defaultdict, deque
 from datetime import datetime, timedelta
 
+import psutil
 import pytest
 
 from tributary.operators import stores
@@ -73,3 +76,39 @@ def test_limiter(spark, hits, seconds, step, slice_rows):
 def test_no_events(spark):
     events = spark.createDataFrame([], "k string, ts timestamp_ntz, id long")
     assert stores.session_store(events, "k", "ts", "id").count() == 0 == stores.limited(events, "k", "ts", "id").count()
+
+
+@pytest.mark.parametrize("batch", [7, 100])
+def test_state_goes_on_from_batch_to_batch(spark, batch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(batch))
+    try:
+        rows = table(500, 30, 60)
+        events = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id long").repartition(3)
+        got = sorted((tuple(r) for r in stores.session_store(events, "k", "ts", "id", 600, 9, 150).collect()), key=str)
+        assert got == replay_store(rows, 600, 9)
+        got = sorted((tuple(r) for r in stores.limited(events, "k", "ts", "id", 3, 600, 150).collect()), key=str)
+        assert got == replay_limiter(rows, 3, 600)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_a_task_never_holds_its_slice(spark):
+    peak, over = [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.1):
+            for p in psutil.Process().children(recursive=True):
+                with contextlib.suppress(psutil.Error):
+                    peak[0] = max(peak[0], p.memory_info().rss if p.name().startswith("python") else 0)
+
+    events = spark.range(600_000).selectExpr("CAST(id * 7919 % 5000 AS STRING) AS k", "CAST(timestamp_micros(id * 1000000) AS TIMESTAMP_NTZ) AS ts", "id")
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        assert stores.session_store(events, "k", "ts", "id", most=12).count() == 600_000
+    finally:
+        over.set()
+        thread.join()
+    assert 0 < peak[0] < 250e6

@@ -1,12 +1,13 @@
 """A session store and a rate limiter replayed over a table of events, as they would have run.
 
 Both keep state from event to event.  Events are cut into slices by order; the state at a slice's start is small and is worked out
-for all slices at once, so slices run as tasks of their own, whatever key fills them.
+for all slices at once, so slices run as tasks of their own, whatever key fills them.  A task takes its slice in order, a batch at a time.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict, deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -53,32 +54,50 @@ def session_store(events: DataFrame, key: str, ts: str, tie: str, idle_seconds:
     carry = carry.withColumn("now", now).filter(F.col("now") - F.col("touch.t") <= idle_seconds * 1_000_000).select("slice", "key", "touch.t", "touch.tie")
     idle = idle_seconds * 1_000_000
 
-    def replay(at: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        store: OrderedDict[str, list] = OrderedDict()  # key: opened here, started, last seen, events; longest untouched first
-        done: list[tuple] = []
-        for k, t in old.sort_values(["t", "tie"])[["key", "t"]].itertuples(index=False):
-            store[k] = [False, None, t, 0]
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, store, seq, done = None, OrderedDict(), 0, []  # store: key: opened here, started, last seen, events; longest untouched first
 
         def leave(k: str, ended: int | None, reason: str | None) -> None:
+            nonlocal seq
             opened, started, seen, n = store.pop(k)
-            done.append((at[0], len(done), k, opened, started, seen, n, ended, reason))
-
-        for k, t in new.sort_values(["t", "tie"])[["key", "t"]].itertuples(index=False):
-            while store and t - (first := next(iter(store.items())))[1][2] > idle:
-                leave(first[0], first[1][2] + idle, "idle")
-            if k not in store:
-                while len(store) >= most:
-                    leave(next(iter(store)), t, "evicted")
-                store[k] = [True, t, t, 0]
-            held = store[k]
-            held[2], held[3] = t, held[3] + 1
-            store.move_to_end(k)
-        for k in [k for k, held in store.items() if held[3]]:
-            leave(k, None, None)  # goes on in a later slice, or lives
-        out = pd.DataFrame(done, columns=[c.split()[0] for c in FRAGMENT.split(", ")])
-        return out.astype({"started": "Int64", "ended": "Int64", "opened": bool})
-
-    pieces = keep(rows.groupBy("slice").cogroup(carry.groupBy("slice")).applyInPandas(replay, FRAGMENT), folder, "fragments")
+            done.append((at, seq, k, opened, started, seen, n, ended, reason))
+            seq += 1
+
+        def close() -> None:
+            for k in [k for k, held in store.items() if held[3]]:
+                leave(k, None, None)  # goes on in a later slice, or lives
+            store.clear()
+
+        def out() -> pd.DataFrame:
+            frame = pd.DataFrame(done, columns=[c.split()[0] for c in FRAGMENT.split(", ")]).astype({"started": "Int64", "ended": "Int64", "opened": bool})
+            done.clear()
+            return frame
+
+        for frame in frames:
+            for s, new, k, t in frame[["slice", "new", "key", "t"]].itertuples(index=False):
+                if s != at:
+                    close()
+                    at, seq = s, 0
+                if not new:
+                    store[k] = [False, None, t, 0]
+                    continue
+                while store and t - (first := next(iter(store.items())))[1][2] > idle:
+                    leave(first[0], first[1][2] + idle, "idle")
+                if k not in store:
+                    while len(store) >= most:
+                        leave(next(iter(store)), t, "evicted")
+                    store[k] = [True, t, t, 0]
+                held = store[k]
+                held[2], held[3] = t, held[3] + 1
+                store.move_to_end(k)
+            yield out()
+        close()
+        yield out()
+
+    # what a slice starts with, and then its rows: a task holds the store and a batch, never a slice
+    both = carry.withColumn("new", F.lit(False)).unionByName(rows.withColumn("new", F.lit(True)))
+    both = both.repartitionById(n, F.col("slice")).sortWithinPartitions("slice", "new", "t", F.asc_nulls_last("tie"))
+    pieces = keep(both.mapInPandas(replay, FRAGMENT), folder, "fragments")
     # a session is the piece that opened it and those that follow without opening
     pieces = ordered.running(pieces, "key", [F.col("seq")], F.col("opened").cast("int"), "number")
     whole = pieces.groupBy("key", "number").agg(F.min("started").alias("started"), F.max("last_seen").alias("last_seen"), F.sum("events").alias("events"), F.max("ended").alias("ended"), F.max("reason").alias("reason"))
@@ -100,24 +119,42 @@ def limited(events: DataFrame, key: str, ts: str, tie: str, hits: int = 20, seco
     schema = f"{rows.select('key', 'ts', 'tie').schema.simpleString()[7:-1].replace(',', ', ').replace(':', ' ')}, slice int, allowed boolean, handed_on array<bigint>"
 
     def run(carried: dict[int, list[int]]):  # noqa: ANN202
-        def step(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values(["key", "t", "tie"], na_position="first", kind="stable")
+        def decide(part: pd.DataFrame, ring: list[int]) -> tuple[pd.DataFrame, list[int]]:
             own, t = part["key"].factorize(use_na_sentinel=False)[0], part["t"].to_numpy()
             allowed = np.ones(len(t), bool)
             crowded = set(own[hits:][(own[hits:] == own[:-hits]) & (t[hits:] - t[:-hits] <= window)].tolist()) | {own[0]}
             starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             state: list[int] = []
             for lo, hi in zip(starts, np.append(starts[1:], len(t))):
-                ring = deque(carried.get(int(part["slice"].iloc[0]), []) if lo == 0 else [], hits)
+                held = deque(ring if lo == 0 else [], hits)
                 if own[lo] in crowded:
                     for i in range(lo, hi):
-                        if len(ring) == hits and t[i] - ring[0] <= window:
+                        if len(held) == hits and t[i] - held[0] <= window:
                             allowed[i] = False
                         else:
-                            ring.append(int(t[i]))
-                state = list(ring) if own[lo] in crowded else t[lo:hi][-hits:].tolist()
-            handed: list = [None] * (len(t) - 1) + [state]
-            return part.drop(columns="t").assign(allowed=allowed, handed_on=handed)[["key", "ts", "tie", "slice", "allowed", "handed_on"]]
+                            held.append(int(t[i]))
+                state = list(held) if own[lo] in crowded else t[lo:hi][-hits:].tolist()
+            return part.drop(columns="t").assign(allowed=allowed, handed_on=None)[["key", "ts", "tie", "slice", "allowed", "handed_on"]], state
+
+        def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            last, state = None, []  # the decisions before, whose last row hands on the state if its slice ends there
+
+            def closed() -> pd.DataFrame:
+                return last.assign(handed_on=[None] * (len(last) - 1) + [state])
+
+            for frame in frames:
+                for s, part in frame.groupby("slice", sort=False):
+                    goes_on = last is not None and last["slice"].iloc[-1] == s
+                    if last is not None:
+                        yield last if goes_on else closed()
+                    if goes_on:
+                        a, b = last["key"].iloc[-1], part["key"].iloc[0]
+                        ring = state if a == b or (pd.isna(a) and pd.isna(b)) else []
+                    else:
+                        ring = carried.get(int(s), [])
+                    last, state = decide(part, ring)
+            if last is not None:
+                yield closed()
 
         return step
 
@@ -131,7 +168,8 @@ def limited(events: DataFrame, key: str, ts: str, tie: str, hits: int = 20, seco
     todo, turn = order, 0
     while todo:
         part = rows if turn == 0 else rows.filter(F.col("slice").isin(todo))
-        ran = keep(part.groupBy("slice").applyInPandas(run(dict(carried)), schema), folder, f"run{turn}")
+        part = part.repartitionById(order[-1] + 1, F.col("slice")).sortWithinPartitions("slice", "key", "t", "tie")
+        ran = keep(part.mapInPandas(run(dict(carried)), schema), folder, f"run{turn}")
         known |= {r["slice"]: list(r["handed_on"]) for r in ran.filter("handed_on IS NOT NULL").select("slice", "handed_on").collect()}
         latest |= dict.fromkeys(todo, turn)
         todo, turn, sure = [], turn + 1, set()
