@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -529,6 +530,57 @@ def test_suffix_dedup_of_rows_with_one_doc_id(spark, tmp_path):
     assert sorted(r.text for r in suffix_dedup.strip(table, buckets=4).collect()) == sorted(w[3].decode() for w in removed_by_hand(texts).values())
 
 
+def test_suffix_dedup_shuffles_no_text(spark, tmp_path):
+    spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if what repeats were too large to broadcast
+    try:
+        for f in (suffix_dedup.dedup, suffix_dedup.strip):
+            plan = f(spark.read.parquet(str(tmp_path / "d")), buckets=4)._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+
+
+def test_lists_beside_the_rows_of_a_scan(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1)
+    rng, file = random.Random(4), 1 << 40
+    lists = {r: [(rng.randint(0, 99), rng.randint(1, 9)) for _ in range(rng.randint(0, 3))] for r in [*range(9), *range(file, file + 5)]}
+    folder = common.shared_folder(spark)
+    suffix_dedup.beside(spark.createDataFrame([(r, *x) for r, own in lists.items() for x in own], "row long, start int, windows int"), folder, "some")
+    read = suffix_dedup.Beside(folder, "some", "start", "windows")
+    for rows in ([*lists], [5, 0, 8, file + 3, 2], [7, 8, 500, file], [500], []):  # in order, in none, with blocks that nobody wrote
+        edge, (start, windows) = read(pa.array(rows, pa.int64()))
+        assert [sorted(zip(start[a:b].tolist(), windows[a:b].tolist())) for a, b in zip(edge, edge[1:])] == [sorted(lists.get(r, [])) for r in rows]
+
+
+def test_packed_runs():
+    rng = np.random.default_rng(5)
+    runs = np.zeros(3000, suffix_dedup.RUN)
+    runs["hash"], runs["content"] = rng.integers(0, 1 << 63, (2, 3000), dtype=np.uint64) * np.uint64(2)
+    runs["doc"], runs["row"] = np.sort(rng.integers(-(1 << 62), 1 << 62, 3000)), np.sort(rng.integers(0, 5 << 40, 3000))
+    runs["doc"][:3], runs["doc"][-3:] = -(1 << 63), (1 << 63) - 1
+    runs["start"], runs["windows"] = rng.integers(0, 1 << 31, 3000), rng.integers(1, 78, 3000)
+    for part in (runs, runs[:1], runs[:0]):
+        assert (suffix_dedup.unpack_runs(suffix_dedup.pack_runs(part), len(part)) == part).all()
+    near = runs.copy()
+    near["doc"], near["row"], near["start"] = np.arange(3000) // 7 + 10**9, np.arange(3000) // 7, np.arange(3000) * 40 % 3400
+    assert len(suffix_dedup.pack_runs(near)) < 0.6 * near.nbytes
+
+
+def test_earliest_runs():
+    rng = np.random.default_rng(6)
+    runs = np.zeros(400, suffix_dedup.RUN)
+    for f, most in (("hash", 9), ("content", 5), ("doc", 20), ("row", 3), ("start", 9)):
+        runs[f] = rng.integers(0, most, 400)
+    runs["start"] += np.arange(400, dtype=np.int32) * 10  # no two are the same
+    first, again = suffix_dedup.own_copies(runs)
+    least = {}
+    for r in runs.tolist():
+        least[r[:2]] = min(r, least.get(r[:2], r), key=lambda x: x[2:5])
+    assert sorted(first.tolist()) == sorted(least.values()) and len(first) + len(again) == 400
+
+
 def test_suffix_order():
     rng = random.Random(2)
     for _ in range(200):
